@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import neardup, neighbours
+from folioflow.llm import contamination, neardup, neighbours, packing, pairs, quality, spam, split
 from folioflow.operators.current import current_rows
 from folioflow.sources import table
 from folioflow.storage import materialize
@@ -48,6 +48,66 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumnsRenamed({"id": "chunk_id", "neighbour": "neighbour_id"})
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1,000 tokens, with 80 of overlap, of every chunk of more than 1,000 tokens."""
+    large = F.length("text_for_embedding") >= (split.LIMIT + 1) * split.CHARS
+    columns = {"text": F.when(large, F.col("text_for_embedding"))}  # shorter texts needn't travel
+    current = current_rows(table(spark, sf_dir, "chunks"), "chunk_id", "updated_at", columns)
+    pieces = split.split_oversized(current, "chunk_id", "text", limit=split.LIMIT, overlap=split.OVERLAP, chars=split.CHARS)
+    return pieces.withColumnRenamed("id", "chunk_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that were split."""
+    return p2_pieces(spark, sf_dir).where("chunk_index = 0").select("chunk_id")
+
+
+def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, symbol, line and common-word statistics of every chunk with text, the rules it fails, and its kind."""
+    found = quality.text_quality(chunk_texts(spark, sf_dir), "chunk_id", "text", table(spark, sf_dir, "common_words"))
+    return found.withColumnRenamed("id", "chunk_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that are lists, tables or junk."""
+    return p5_statistics(spark, sf_dir).where("kind is not null").select("chunk_id", "kind")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective query-answer pairs."""
+    return pairs.defective_pairs(table(spark, sf_dir, "rag_queries"), table(spark, sf_dir, "common_words"))
+
+
+def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training sequence of 2,048 tokens that each text, or piece of a longer text, goes to."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the sequences are."""
+    filled = p7_sequences(spark, sf_dir).groupBy("sequence_id").agg(F.sum("n_tokens").alias("used"), F.max(F.col("position") + F.col("n_tokens")).alias("end"))
+    return filled.agg(F.count("*").alias("sequences"), F.sum("used").alias("tokens"), F.max("end").alias("fullest"), (F.sum("used") / (F.count("*") * 2048)).alias("used_share"))
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold twelve consecutive words of an evaluation item, and where."""
+    return contamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document the shares of prose, link lists, tag lists, menus and records."""
+    return spam.page_kinds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword-stuffed pages, link lists and tag lists."""
+    return p9_pages(spark, sf_dir).where("spam").select("doc_id").distinct()
+
+
 CURRENT = "(select * from chunks qualify row_number() over (partition by chunk_id order by updated_at desc nulls last) = 1)"
 
 
@@ -70,6 +130,33 @@ near as (select a.chunk_id id, b.chunk_id other, round(array_cosine_similarity(a
 best as (select * from near qualify row_number() over (partition by id order by cosine desc, other) <= 5)
 select distinct least(id, other) as chunk_id_a, greatest(id, other) as chunk_id_b from best where cosine >= 0.85"""
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours}
-
-SQL = {"p1_found": shingle_pairs_sql(3, 0.6), "p4_found": P4_SQL}
+P2_SQL = f"select chunk_id from {CURRENT} where length(text_for_embedding) // 4 > 1000"
+
+P8_SQL = """
+with item_words as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from eval_items),
+windows as (select distinct item_id, least(12, len(w)) n, array_to_string(w[i : i + least(12, len(w)) - 1], ' ') g
+  from item_words, unnest(range(1, greatest(1, len(w) - 11) + 1)) t(i) where len(w) > 0),
+doc_words as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents where text is not null),
+sizes as (select distinct n from windows),
+doc_windows as (select doc_id, n, array_to_string(w[i : i + n - 1], ' ') g from doc_words, sizes, unnest(range(1, len(w) - n + 2)) t(i))
+select distinct doc_id, item_id from doc_windows join windows using (n, g)"""
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
+    "p5_found": p5_found,
+    "p5_statistics": p5_statistics,
+    "p6_found": p6_found,
+    "p7_sequences": p7_sequences,
+    "p7_usage": p7_usage,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
+    "p9_found": p9_found,
+    "p9_pages": p9_pages,
+}
+
+SQL = {"p1_found": shingle_pairs_sql(3, 0.6), "p2_found": P2_SQL, "p4_found": P4_SQL, "p8_found": P8_SQL}
