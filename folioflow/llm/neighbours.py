@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,7 +126,7 @@ def _spread(model: Codebooks, blocks: np.ndarray, dim: int, probes: int):
                 row, cell, asks, block, stored = row[keep], cell[keep], asks[keep], block[keep], stored[keep]
                 packed = pa.array([c.tobytes() for c in codes[:, 1:].astype(np.uint8)], pa.binary())
                 index, kept = pa.array(row), pa.array(~stored)
-                nothing = lambda column: pa.compute.if_else(kept, pa.scalar(None, column.type), column.take(index))
+                nothing = lambda column: pc.if_else(kept, pa.scalar(None, column.type), column.take(index))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), batch.column(0).take(index), pa.array(asks), pa.array(stored), nothing(batch.column(1)), nothing(packed), batch.column(2).take(index)],
                     schema=schema,
