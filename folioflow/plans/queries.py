@@ -1,37 +1,6 @@
 """Named queries over the test tables, and the SQL they are checked against."""
 
-from __future__ import annotations
+from folioflow.plans import corpus_queries, search_queries  # noqa: F401
+from folioflow.plans.registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-from folioflow.operators import incremental
-from folioflow.sources import table
-
-#: When the next embedding run starts.
-NEXT_RUN = "2031-05-01 00:00:00"
-
-CURRENT = "(select * from chunks qualify row_number() over (partition by chunk_id order by updated_at desc nulls last) = 1)"
-
-
-def p3_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks that the next embedding run must process, and why."""
-    chunks, checkpoint, runs, documents = (table(spark, sf_dir, n) for n in ("chunks", "checkpoint", "ingestion_runs", "documents"))
-    return incremental.pending(chunks, checkpoint, runs, documents, NEXT_RUN)
-
-
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_pending(spark, sf_dir).select("chunk_id")
-
-
-P3_ROWS = f"""
-(with holding as (select chunk_id k, lower(content_hash) held_hash, model_version held_version from checkpoint join ingestion_runs using (run_id)
-  where status in ('completed', 'partial') qualify row_number() over (partition by chunk_id order by embedded_at desc nulls last) = 1),
-joined as (select c.chunk_id, c.doc_id, substr(sha256(text_for_embedding), 1, 16) content_hash, embedding_model_version, k, held_hash, held_version
-  from {CURRENT} c left join holding on k = c.chunk_id left join documents d on d.doc_key = c.doc_id
-  where text_for_embedding is not null and (last_ingested_at is null or last_ingested_at <= timestamptz '{NEXT_RUN}+00'))
-select chunk_id, doc_id, content_hash, embedding_model_version, case when k is null then 'new'
-  when content_hash is distinct from held_hash then 'changed' when embedding_model_version is distinct from held_version then 'version' end reason
-from joined)"""
-
-QUERIES: dict = {"p3_found": p3_found, "p3_pending": p3_pending}
-SQL: dict = {"p3_found": f"select chunk_id from {P3_ROWS} where reason is not null", "p3_pending": f"select * from {P3_ROWS} where reason is not null"}
+__all__ = ["QUERIES", "SQL"]
