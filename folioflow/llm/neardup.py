@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.storage import materialize
@@ -184,6 +184,15 @@ def _pairs_in_buckets(least: list[int]):
     return run
 
 
+def _long_enough(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [c for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t is not None and len(words(t)) >= width]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["cls"])
+
+    return run
+
+
 def _verify(width: int, threshold: float):
     def grams(text: str) -> set:
         w = words(text)
@@ -236,43 +245,44 @@ def similar_classes(texts: DataFrame, *, width: int = 5, threshold: float = 0.8,
     found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_pairs_in_buckets(least_matches(threshold, miss)), "a long, b long")
     pairs = materialize(found.distinct(), "candidates")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    # Each task sends a class once; the rest of its copies are dropped where they meet.
-    kept = narrow.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
-    left = pairs.join(kept.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(kept.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
+    # Merge joins at every size: none of these sides has a bound.
+    kept = narrow.join(wanted.hint("merge"), "cls", "left_semi").dropDuplicates(["cls"])
+    left = pairs.hint("merge").join(kept.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a")
+    both = left.hint("merge").join(kept.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_verify(width, threshold), "a long, b long, similarity double")
 
 
-def text_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``cls``, ``text``: the class of a text is a 64-bit hash of it. NULL ids and texts are left out."""
-    return df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("cls"), F.col(text_col).alias("text")
-    )
+def class_of(text: Column) -> Column:
+    """The class of a text is a 64-bit hash of it; NULL for NULL."""
+    return F.when(text.isNotNull(), F.xxhash64(text))
 
 
-def near_duplicate_links(classes: DataFrame, *, width: int = 5, threshold: float = 0.8, miss: float = 1e-4, spelled: int = SPELLED) -> DataFrame:
-    """Pairs ``id_a < id_b`` of different ids with similar texts (``classes`` as from :func:`text_classes`, materialized).
+def near_duplicate_links(
+    members: DataFrame, texts: DataFrame, *, width: int = 5, threshold: float = 0.8, miss: float = 1e-4, spelled: int = SPELLED
+) -> DataFrame:
+    """Pairs ``id_a < id_b`` of different ids with similar texts.
 
-    Classes of up to ``spelled`` identical texts are written out pair by pair; in a larger class each id is linked with
-    the class's smallest one, and similar classes with that one, so components and links between different texts stay.
-    Identical texts of fewer than ``width`` words make no pair. Ties, repeated rows and empty tables need no care: each
-    pair comes once, and nothing comes from nothing.
+    ``members``: ``id`` and ``cls``, the class of its text; ``texts``: ``cls`` and ``text``, with the text of every class. Texts
+    may repeat, and may be of classes without members, as older versions are: so whole texts needn't be shuffled to find the
+    current ones. Classes of up to ``spelled`` identical texts are written out pair by pair; in a larger class each id is
+    linked with the class's smallest one, and similar classes with that one, so components and links between different texts
+    stay. Texts of fewer than ``width`` words make no pair, not even with their copies. Ties, repeated rows, NULLs and empty
+    tables need no care: each pair comes once, and nothing comes from nothing.
     """
-    pairs = materialize(similar_classes(classes, width=width, threshold=threshold, miss=miss).select("a", "b"), "links")
-    member = classes.select("id", "cls").distinct()
-    long_enough = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)) >= width
+    pairs = materialize(similar_classes(texts, width=width, threshold=threshold, miss=miss).select("a", "b"), "links")
+    member = members.where(F.col("id").isNotNull() & F.col("cls").isNotNull()).select("id", "cls").distinct()
     rank = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
     first = member.withColumn("_rank", rank).where(F.col("_rank") <= spelled + 1)  # the rank limit also runs before the shuffle
     size = F.count("*").over(Window.partitionBy("cls"))
     ends = first.withColumn("_size", size).where((F.col("_size") <= spelled) | (F.col("_rank") == 1))
-    several = ends.where("_size > 1")
+    several = materialize(ends.where("_size > 1"), "copies")
     ends = ends.select("cls", "id")
     across = (
         pairs.join(ends.withColumnsRenamed({"cls": "a", "id": "u"}), "a")
         .join(ends.withColumnsRenamed({"cls": "b", "id": "v"}), "b")
         .select(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b"))
     )
-    copied = classes.join(several.select("cls").distinct(), "cls", "left_semi").where(long_enough).select("cls").distinct()
+    copied = texts.select("cls", "text").join(several.select("cls").distinct(), "cls", "left_semi").mapInArrow(_long_enough(width), "cls long").distinct()
     several = several.join(copied, "cls", "left_semi")
     small = several.where(F.col("_size") <= spelled).select("cls", "id")
     within = small.join(small.withColumnRenamed("id", "other"), "cls").where("id < other").select(F.col("id").alias("id_a"), F.col("other").alias("id_b"))
@@ -312,13 +322,15 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("group")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group")).distinct())
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, *, width: int = 5, threshold: float = 0.8, miss: float = 1e-4) -> DataFrame:
-    """One row per id with a non-NULL text: ``id``, ``group`` (the smallest id it is linked with, directly or through others) and ``n_links``."""
-    classes = materialize(text_classes(df, id_col, text_col), "classes")
-    links = materialize(near_duplicate_links(classes, width=width, threshold=threshold, miss=miss), "pairs")
+def near_duplicate_groups(members: DataFrame, texts: DataFrame, *, width: int = 5, threshold: float = 0.8, miss: float = 1e-4) -> DataFrame:
+    """One row per id with a non-NULL text: ``id``, ``group`` (the smallest id it is linked with, directly or through others) and ``n_links``.
+
+    Inputs as for :func:`near_duplicate_links`; links within classes of more than ``SPELLED`` copies count only those to the smallest id.
+    """
+    links = materialize(near_duplicate_links(members, texts, width=width, threshold=threshold, miss=miss), "pairs")
     degree = links.select(F.col("id_a").alias("id")).unionByName(links.select(F.col("id_b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
     return (
-        classes.select("id").distinct()
+        members.where(F.col("id").isNotNull() & F.col("cls").isNotNull()).select("id").distinct()
         .join(components(links), "id", "left")
         .join(degree, "id", "left")
         .select("id", F.coalesce("group", "id").alias("group"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

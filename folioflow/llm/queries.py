@@ -21,16 +21,24 @@ def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_rows(table(spark, sf_dir, "chunks"), "chunk_id", "updated_at", {"embedding": F.col("embedding")})
 
 
+def chunk_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The class of each current chunk's text, and the texts of all versions with their classes."""
+    chunks = table(spark, sf_dir, "chunks")
+    text = F.col("text_for_embedding")
+    members = current_rows(chunks, "chunk_id", "updated_at", {"cls": neardup.class_of(text)}).withColumnRenamed("chunk_id", "id")
+    return materialize(members, "members"), chunks.select(neardup.class_of(text).alias("cls"), text.alias("text"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks whose sets of 3-word sequences have a Jaccard similarity of at least 0.6."""
-    classes = materialize(neardup.text_classes(chunk_texts(spark, sf_dir), "chunk_id", "text"), "classes")
-    links = neardup.near_duplicate_links(classes, width=3, threshold=0.6)
+    members, texts = chunk_classes(spark, sf_dir)
+    links = neardup.near_duplicate_links(members, texts, width=3, threshold=0.6)
     return links.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each chunk with the smallest chunk_id it is linked with at five words and 0.8, and its number of links."""
-    groups = neardup.near_duplicate_groups(chunk_texts(spark, sf_dir), "chunk_id", "text")
+    groups = neardup.near_duplicate_groups(*chunk_classes(spark, sf_dir))
     return groups.withColumnsRenamed({"id": "chunk_id", "group": "group_id"})
 
 
