@@ -175,7 +175,7 @@ def assess(texts: list[str], common: np.ndarray) -> dict[str, list]:
     agree = np.max([_most_agreeing(seps[use, k], block, n) for k in range(seps.shape[1])], axis=0) / size
     # Cells are short: a sentence with commas is no row.
     agree[sums["words"] / np.maximum(1, total(seps.max(1) + 1)) > 5] = 0
-    numeric = total((c["numbers"] >= 2) & (c["common"] * 5 <= c["words"])) / size
+    numeric = total((c["numbers"] >= 2) & (c["common"] * 5 <= c["words"]) & ~bullet) / size
     plain = sums["letters"] / np.maximum(1, sums["chars"])
     of = np.zeros(n, np.int64)
     of[block] = owner
