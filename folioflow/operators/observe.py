@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,6 +38,57 @@ class ChatLog:
         return self.spark.read.schema(CHAT_LOG).option("mode", "FAILFAST").json(self.path)
 
 
+@dataclass
+class QueryContext:
+    """What is known of one query as it runs; a row of the query log at the end, also when it failed."""
+
+    query_text: str
+    user_id: str | None = None
+    query_id: str = field(default_factory=lambda: uuid.uuid4().hex)
+    embed_duration_seconds: float = 0.0
+    sql_duration_seconds: float = 0.0
+    rerank_duration_seconds: float = 0.0
+    total_duration_seconds: float = 0.0
+    cache_hit: bool = False
+    results_returned: int = 0
+    top_similarity: float | None = None
+    candidates_considered: int = 0
+    embedding_model: str | None = None
+    estimated_cost_usd: float = 0.0
+    error: str | None = None
+    timestamp: float = field(default_factory=time.time)
+
+    def row(self) -> tuple:
+        order = ("query_id", "user_id", "query_text", *list(self.__dataclass_fields__)[3:])
+        return tuple(getattr(self, n) for n in order)
+
+
+class QueryLog:
+    """Appends queries, failed ones too, to a JSON-lines table; named metrics go to a table of their own beside it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @contextmanager
+    def query(self, text: str, user_id: str | None = None):
+        context, began = QueryContext(text, user_id), time.monotonic()
+        try:
+            yield context
+        except Exception as error:
+            context.error = f"{type(error).__name__}: {error}"
+            raise
+        finally:
+            context.total_duration_seconds = time.monotonic() - began
+            self.spark.createDataFrame([context.row()], QUERY_LOG).coalesce(1).write.mode("append").json(self.path)
+
+    def metric(self, name: str, value: float) -> None:
+        row = [(name, float(value), time.time())]
+        self.spark.createDataFrame(row, "name string, value double, timestamp double").coalesce(1).write.mode("append").json(self.path + "_metrics")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(QUERY_LOG).option("mode", "FAILFAST").json(self.path)
+
+
 def log_rows(answers: DataFrame) -> DataFrame:
     """Answers as they are logged: cut to 300 characters, times to 1 decimal, scores to 3."""
     return answers.withColumns(

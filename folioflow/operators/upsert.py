@@ -118,3 +118,30 @@ def run_outcome(actions: DataFrame, failed: Column, errors: Column) -> DataFrame
     out = actions.agg(n("inserted").alias("chunks_inserted"), n("updated").alias("chunks_updated"), n("unchanged").alias("chunks_unchanged"))
     out = out.withColumn("chunks_failed", failed).withColumn("status", F.when(F.col("chunks_failed") == 0, "completed").otherwise("partial"))
     return out.withColumn("error_summary", F.when(F.size(errors) > 0, F.to_json(F.slice(errors, 1, 5))))
+
+
+def start_run(runs: DataFrame, run_id: str, started_at: Column, **known: str) -> DataFrame:
+    """The run table with a new run; running until :func:`finish_run`. Columns it isn't told are NULL."""
+    row = runs.sparkSession.range(1).select(
+        *[
+            (F.lit(run_id) if c == "run_id" else started_at if c == "started_at" else F.lit("running") if c == "status" else F.lit(known.get(c))).cast(t).alias(c)
+            for c, t in runs.dtypes
+        ]
+    )
+    return runs.unionByName(row)
+
+
+def finish_run(runs: DataFrame, run_id: str, completed_at: Column, outcome: DataFrame | None, error: str | None = None) -> DataFrame:
+    """The run table with the run's outcome (a row of :func:`run_outcome`), or failed with ``error`` if there is none."""
+    mine = F.col("run_id") == run_id
+    if outcome is None:
+        set_to = {"status": F.lit("failed"), "completed_at": completed_at, "error_summary": F.to_json(F.array(F.lit(error)))}
+        return runs.withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in set_to.items()})
+    one = outcome.select(
+        F.lit(run_id).alias("_run"), F.col("status").alias("_status"), (F.col("chunks_inserted") + F.col("chunks_updated")).cast("int").alias("_loaded"),
+        F.col("chunks_failed").cast("int").alias("_failed"), F.col("error_summary").alias("_errors"),
+    )
+    both = runs.join(F.broadcast(one), F.col("run_id") == F.col("_run"), "left")  # one row
+    hit = F.col("_run").isNotNull()
+    set_to = {"status": F.col("_status"), "completed_at": completed_at, "chunks_loaded": F.col("_loaded"), "chunks_failed": F.col("_failed"), "error_summary": F.col("_errors")}
+    return both.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in set_to.items()}).select(*runs.columns)

@@ -406,3 +406,31 @@ def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
 @query("select chunk_type, count(*) n from chunks where chunk_type is not null group by 1")
 def element_histogram(spark: SparkSession, d: str) -> DataFrame:
     return profile.histogram(table(spark, d, "chunks"), "chunk_type")
+
+
+@query("""
+with r as (select run_id, status, chunks_loaded, chunks_failed from ingestion_runs)
+select run_id, status, chunks_loaded, chunks_failed from r union all select 'run_new', 'partial', 7, 2""")
+def run_table(spark: SparkSession, d: str) -> DataFrame:
+    """The run table with a run that was started and finished."""
+    at = F.to_timestamp(F.lit(NOW))
+    runs = upsert.start_run(table(spark, d, "ingestion_runs"), "run_new", at, operator="someone")
+    outcome = spark.createDataFrame([(4, 3, 0, 2, "partial", None)], "chunks_inserted long, chunks_updated long, chunks_unchanged long, chunks_failed long, status string, error_summary string")
+    return upsert.finish_run(runs, "run_new", at, outcome).select("run_id", "status", "chunks_loaded", "chunks_failed")
+
+
+@query()
+def document_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as entries of their documents' outlines, with the titles above each."""
+    chunks = current_chunks(spark, d, "doc_id", "section_heading", "section_level", "page_range").where("section_level is not null")
+    outline = chunks.select("doc_id", F.col("chunk_id").alias("ord"), F.col("section_heading").alias("title"), F.col("section_level").alias("level"), F.col("page_range.lo").alias("page_start"))
+    return sections.walk_outline(outline)
+
+
+@query()
+def image_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Figures drawn from the part table, decoded only where size and position leave the decision open."""
+    k = F.col("p_partkey")
+    noise = F.unhex(F.concat(*[F.sha2(F.concat(k.cast("string"), F.lit(f":{i}")), 512) for i in range(3)]))
+    image = F.concat(F.encode(F.lit("P6\n8 8\n255\n"), "utf-8"), noise)
+    return images.route_images(_figures(spark, d).drop("visual").withColumn("image", image), "image").select("p_partkey", "routing.decision", "visual", "error")

@@ -274,3 +274,11 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     events = spark.readStream.schema(source.schema).parquet(f"{d}/events.parque[t]").where("ts is not null")
     counts = ingest.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
     return ingest.final_state(counts).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("select event_id, event_type from events where ts is not null")
+def stream_deduplicated(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a stream that delivers each of them twice, once each."""
+    source = table(spark, d, "events")
+    read = lambda: spark.readStream.schema(source.schema).parquet(f"{d}/events.parque[t]").where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ingest.appended(ingest.deduplicated(read().unionByName(read()), "event_id", "ts").select("event_id", "event_type"))

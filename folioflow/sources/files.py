@@ -9,6 +9,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioflow import schemas
 from folioflow.functions.vectors import cosine_to
@@ -53,6 +54,58 @@ def read_pages(spark: SparkSession, folder: str, pattern: str = "*.pdf", extract
     return files.mapInArrow(run, schema)
 
 
+def extract_rows(spark: SparkSession, folder: str, pattern: str, extract: Callable[[bytes], list[dict]], schema: str) -> DataFrame:
+    """Rows of any shape out of the files of a folder: words, tables, figures, outlines, metadata.
+
+    ``extract`` opens a file's bytes once and gives dicts with the fields of ``schema``; ``source_file`` and ``error`` are
+    added. A file that can't be read is one row with the error and no fields.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    shape = spark.createDataFrame([], f"source_file string, {schema}, error string").schema
+    names = shape.names[1:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = to_arrow_schema(shape)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = os.path.basename(path)
+                try:
+                    rows = [{"source_file": name, "error": None} | {n: r.get(n) for n in names} for r in extract(content)]
+                except Exception as e:
+                    rows = [{"source_file": name, "error": f"{type(e).__name__}: {e}"[:200]} | dict.fromkeys(names)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    return files.mapInArrow(run, shape)
+
+
+def document_metadata(spark: SparkSession, folder: str, pattern: str, extract: Callable[[bytes], dict]) -> DataFrame:
+    """``source_file``, ``page_count``, ``author``: unknown authors are "Unknown", and so is everything of an unreadable file."""
+    rows = extract_rows(spark, folder, pattern, lambda data: [extract(data)], "page_count int, author string")
+    return rows.select("source_file", "page_count", F.coalesce(F.nullif("author", F.lit("")), F.lit("Unknown")).alias("author"))
+
+
+def render_regions(figures: DataFrame, files: DataFrame, render: Callable[[bytes, list[tuple]], list[bytes]]) -> DataFrame:
+    """Adds ``image``: the regions (``page``, ``bbox``) of each document drawn by ``render``, which opens a document once.
+
+    ``files`` has ``source_file`` and ``content``. Documents that can't be drawn leave NULL images.
+    """
+    grouped = figures.groupBy("source_file").agg(F.collect_list(F.struct("element_id", "page", "bbox")).alias("regions")).join(files.select("source_file", "content"), "source_file")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, regions, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                try:
+                    drawn = render(content, [(r["page"], tuple(r["bbox"].values())) for r in regions])
+                except Exception:
+                    drawn = [None] * len(regions)
+                rows = [{"source_file": name, "element_id": r["element_id"], "image": d} for r, d in zip(regions, drawn, strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("source_file", pa.string()), ("element_id", pa.string()), ("image", pa.binary())]))
+
+    images = grouped.mapInArrow(run, "source_file string, element_id string, image binary")
+    return figures.join(images, ["source_file", "element_id"], "left")
+
+
 def select_files(names: DataFrame, column: str, contains: str | None = None, loaded: DataFrame | None = None) -> DataFrame:
     """File names with a substring, whatever its case, whose stem isn't loaded yet, in order."""
     out = names

@@ -51,6 +51,12 @@ def run_to_table(stream: DataFrame, target: str, checkpoint: str, mode: str = "a
     return spark.read.schema(stream.schema).parquet(target)
 
 
+def appended(stream: DataFrame) -> DataFrame:
+    """All rows a stream emits from what is there, in the shared folder."""
+    root = f"{shared_dir(stream.sparkSession)}/folioflow/stream-{uuid.uuid4().hex}"
+    return run_to_table(stream, f"{root}/out", f"{root}/checkpoint")
+
+
 def final_state(stream: DataFrame) -> DataFrame:
     """All rows a stream's aggregate holds after reading what is there, written batch by batch to the shared folder."""
     spark = stream.sparkSession
