@@ -1,8 +1,9 @@
 """Most similar vectors for every vector, by additive quantisation.
 
 Codebooks: LEVELS full-dimensional books, each trained by k-means on what the books before it leave over (a bounded
-sample of vectors chosen by hash). Encoding keeps a beam of partial sums and takes the best complete one. The first code
-names the inverted list a vector is stored in; a query visits the lists whose first-book entry is nearest. There it is
+sample of vectors chosen by hash). Encoding keeps a beam of partial sums and takes the best complete one. The first code,
+or the first two of very large collections, names the inverted list a vector is stored in; a query visits the lists that come
+first in its own beam. There it is
 scored against all codes through lookup tables and the stored norms of the sums, and the best are scored again exactly.
 
 Every vector is indexed. Identical vectors are searched once: each group of copies keeps its six smallest ids, which is
@@ -26,6 +27,8 @@ from folioflow.storage import materialize
 TRAINED_ON, LEVELS, ENTRIES, BEAM = 40_000, 6, 64, 4
 #: Lists a query visits; exactly scored candidates per query and list; members of a list scored in one task.
 PROBES, SHORTLIST, BLOCK = 6, 64, 4096
+#: Lists that the first codebook makes, at most; for more vectors than fit them the first two codebooks make the lists.
+MOST_LISTS = 4096
 #: As ``probes``: visit every list.
 ALL = 1 << 30
 #: A candidate is scored exactly if its looked-up cosine is at most this much below the floor.
@@ -43,34 +46,51 @@ def usable(embedding: Column, dim: int) -> Column:
 
 @dataclass
 class Codebooks:
+    """``depth`` first codes name the list a vector is stored in: one, or two where one would make lists too long."""
+
     books: list[np.ndarray]
+    depth: int
     share: np.ndarray  # of the sample in each list
 
     @property
     def lists(self) -> int:
-        return len(self.books[0])
+        return int(np.prod([len(b) for b in self.books[: self.depth]]))
+
+    def list_of(self, codes: np.ndarray) -> np.ndarray:
+        return codes[..., 0] if self.depth == 1 else codes[..., 0] * len(self.books[1]) + codes[..., 1]
+
+    def centre(self, cell: int) -> np.ndarray:
+        if self.depth == 1:
+            return self.books[0][cell]
+        first, second = divmod(cell, len(self.books[1]))
+        return self.books[0][first] + self.books[1][second]
 
     def encode(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (n x books) of unit vectors by beam search, and the nearest ``probes`` lists of each."""
-        n = len(x)
+        """Codes (n x books) of unit vectors by beam search, and the nearest ``probes`` lists of each: the beam's first states."""
         every = np.concatenate(self.books)
         at = np.cumsum([0, *map(len, self.books)])
         gram, half = every @ every.T, (every * every).sum(1) / 2
         reward = x @ every.T - half  # a code's gain before what it shares with the codes chosen already
-        first = reward[:, : at[1]]
-        keep = min(max(probes, BEAM), int(at[1]))
-        near = np.argpartition(-first, keep - 1, axis=1)[:, :keep]
-        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(first, near, 1), axis=1, kind="stable"), 1)
-        states, score = near[:, : min(BEAM, keep), None], np.take_along_axis(first, near, 1)[:, : min(BEAM, keep)]
-        for level in range(1, len(self.books)):
-            size = at[level + 1] - at[level]
+        everywhere = probes >= self.lists
+        width = BEAM if everywhere else max(probes, BEAM)
+        states, score, near = np.zeros((len(x), 1, 0), np.int64), np.zeros((len(x), 1), reward.dtype), None
+        for level in range(len(self.books)):
+            gain = reward[:, None, at[level] : at[level + 1]]
             shared = sum(gram[states[:, :, k], at[level] : at[level + 1]] for k in range(level))
-            total = (score[:, :, None] + reward[:, None, at[level] : at[level + 1]] - shared).reshape(n, -1)
-            best = np.argpartition(-total, min(BEAM, total.shape[1]) - 1, axis=1)[:, :BEAM]
+            total = (score[:, :, None] + gain - shared).reshape(len(x), -1)
+            keep = min(width if level < self.depth else BEAM, total.shape[1])
+            best = np.argpartition(-total, keep - 1, axis=1)[:, :keep]
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(total, best, 1), axis=1, kind="stable"), 1)
             score = np.take_along_axis(total, best, 1)
-            states = np.concatenate([np.take_along_axis(states, (best // size)[:, :, None].repeat(level, 2), 1), (best % size + at[level])[:, :, None]], 2)
-        chosen = np.take_along_axis(states, score.argmax(1)[:, None, None].repeat(len(self.books), 2), 1)[:, 0]
-        return chosen - at[:-1], near[:, :probes]
+            size = at[level + 1] - at[level]
+            before = np.take_along_axis(states, (best // size)[:, :, None].repeat(level, 2), 1)
+            states = np.concatenate([before, (best % size + at[level])[:, :, None]], 2)
+            if level + 1 == self.depth:
+                near = self.list_of(states - at[: level + 1])[:, :probes]
+                states, score = states[:, :BEAM], score[:, :BEAM]
+        if everywhere:
+            near = np.broadcast_to(np.arange(self.lists), (len(x), self.lists))
+        return states[:, 0] - at[:-1], near
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -85,16 +105,18 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return centres, near
 
 
-def fit(sample: np.ndarray, lists: int) -> Codebooks:
+def fit(sample: np.ndarray, lists: int, depth: int = 1) -> Codebooks:
     rng = np.random.default_rng(7)
-    books, rest, share = [], sample.astype(np.float32), None
+    books, rest, codes = [], sample.astype(np.float32), []
     for level in range(1 + LEVELS):
         k = min(lists if level == 0 else ENTRIES, max(1, len(sample)))
         book, near = _kmeans(rest, k, rng)
-        share = np.bincount(near, minlength=k) / len(near) if level == 0 else share
         books.append(book)
+        codes.append(near)
         rest = rest - book[near]
-    return Codebooks(books, share)
+    model = Codebooks(books, depth, np.empty(0))
+    model.share = np.bincount(model.list_of(np.stack(codes, 1)), minlength=model.lists) / len(sample)
+    return model
 
 
 def _unit(packed: list[bytes], dim: int) -> np.ndarray:
@@ -112,7 +134,7 @@ def _spread(model: Codebooks, blocks: np.ndarray, dim: int, probes: int):
                 batch = big.slice(start, 2000)
                 gid = np.asarray(batch.column(0))
                 codes, near = model.encode(_unit(batch.column(2).to_pylist(), dim).astype(np.float32), probes)
-                own = codes[:, 0]
+                own = model.list_of(codes)
                 outside = np.flatnonzero((near != own[:, None]).all(1))
                 row = np.r_[np.repeat(np.arange(len(gid)), near.shape[1]), outside]
                 cell = np.r_[near.ravel(), own[outside]]
@@ -124,7 +146,7 @@ def _spread(model: Codebooks, blocks: np.ndarray, dim: int, probes: int):
                 stored = (cell == own[row]) & (block == home[row].astype(np.int64))
                 keep = asks | stored
                 row, cell, asks, block, stored = row[keep], cell[keep], asks[keep], block[keep], stored[keep]
-                packed = pa.array([c.tobytes() for c in codes[:, 1:].astype(np.uint8)], pa.binary())
+                packed = pa.array([c.tobytes() for c in codes[:, model.depth :].astype(np.uint8)], pa.binary())
                 index, kept = pa.array(row), pa.array(~stored)
                 nothing = lambda column: pc.if_else(kept, pa.scalar(None, column.type), column.take(index))
                 yield pa.RecordBatch.from_arrays(
@@ -153,7 +175,8 @@ def _score(model: Codebooks, dim: int, k: int, floor: float, shortlist: int):
         at, first = at[order], first[order]
         member, member_gid = x[at], gid[at]
         codes = np.frombuffer(b"".join(group["codes"].take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
-        whole = model.books[0][cell] + sum(book[codes[:, m]] for m, book in enumerate(model.books[1:]))
+        centre, rest = model.centre(cell), model.books[model.depth :]
+        whole = centre + sum(book[codes[:, m]] for m, book in enumerate(rest))
         norm = np.linalg.norm(whole, axis=1).astype(np.float32)
         norm[norm == 0] = 1
         out: list[list] = [[], [], [], []]
@@ -162,8 +185,8 @@ def _score(model: Codebooks, dim: int, k: int, floor: float, shortlist: int):
         for s in range(0, len(asks), step):
             ask = asks[s : s + step]
             q = x[ask].astype(np.float32)
-            score = np.repeat((q @ model.books[0][cell])[None, :], len(at), 0)
-            for m, book in enumerate(model.books[1:]):
+            score = np.repeat((q @ centre)[None, :], len(at), 0)
+            for m, book in enumerate(rest):
                 score += (book @ q.T)[codes[:, m]]
             score /= norm[:, None]
             near = np.argpartition(-score, r - 1, axis=0)[:r] if r < len(at) else np.broadcast_to(np.arange(r)[:, None], score.shape)
@@ -208,8 +231,9 @@ def nearest(
         return spark.createDataFrame([], "id string, neighbour string, cosine double, rank int")
     sample = groups.where(F.pmod(F.xxhash64("gid"), F.lit(max(1, count // trained_on))) == 0).orderBy(F.xxhash64("gid")).limit(2 * trained_on)
     sample = _unit(sample.select("vec").toArrow()["vec"].to_pylist() or groups.select("vec").limit(1).toArrow()["vec"].to_pylist(), dim)
-    model = fit(sample, int(np.clip(2 ** round(np.log2(count) / 2), 4, 4096)))
-    blocks = np.maximum(1, np.ceil(model.share * count / BLOCK)).astype(np.int64)
+    lists = int(np.clip(2 ** round(np.log2(count) / 2), 4, MOST_LISTS))
+    model = fit(sample, lists, 1 if count <= lists * BLOCK else 2)
+    blocks = np.ceil(np.maximum(model.share, 1 / model.lists) * count / BLOCK).astype(np.int64)
     if asked is None:
         sought = groups.select("gid", F.element_at("ids", 1).alias("first"), "vec")
         spread = sought.mapInArrow(_spread(model, blocks, dim, probes), "cell int, block int, gid long, asks boolean, stored boolean, first string, codes binary, vec binary")

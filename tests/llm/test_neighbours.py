@@ -76,3 +76,15 @@ def test_hot_lists_are_cut_into_blocks(spark, monkeypatch):
     got = neighbours.nearest(spark.createDataFrame(rows, SCHEMA), "id", "v", dim=8, k=5, probes=neighbours.ALL)
     want = brute(rows, 5)
     assert len(found(got) & want) >= 0.99 * len(want)
+
+
+def test_two_codes_name_the_lists_of_large_collections(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 30)
+    monkeypatch.setattr(neighbours, "MOST_LISTS", 8)
+    rows = clusters(2000, 16, 5)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute(rows, 5, 0.85)
+    got = found(neighbours.nearest(df, "id", "v", dim=16, k=5, floor=0.85, probes=24))
+    assert len(want & got) >= 0.95 * len(want)
+    every = found(neighbours.nearest(df, "id", "v", dim=16, k=5, floor=0.85, probes=neighbours.ALL))
+    assert len(want & every) >= 0.99 * len(want)
