@@ -42,6 +42,15 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores, for heavy work per row: a small table lies in fewer files than there are cores.
+
+    A table with as many partitions as cores stays as it is, so large ones aren't shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
