@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.storage import spread
+
 WORD = re.compile(r"[^\W_]+")
 #: Windows an automaton holds at most; more items make more automata, and each text passes through all of them.
 WINDOWS = 2_000_000
@@ -108,5 +110,5 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_i
     shared = documents.sparkSession.sparkContext.broadcast(sorted((r[0], r[1]) for r in held))
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return texts.mapInArrow(_scan(shared, uuid.uuid4().hex, run), "doc_id long, item_id long, start long, end long, windows long")
+    return spread(texts).mapInArrow(_scan(shared, uuid.uuid4().hex, run), "doc_id long, item_id long, start long, end long, windows long")
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.storage import materialize
+from folioflow.storage import materialize, spread
 
 BANDS, ROWS, BITS, BATCH = 40, 4, 128, 32
 WORD = re.compile(r"[^\W_]+")
@@ -239,7 +239,7 @@ def similar_classes(texts: DataFrame, *, width: int = 5, threshold: float = 0.8,
     """
     narrow = texts.select("cls", "text").where(F.col("text").isNotNull())
     schema = "bucket long, cls long, s1 long, s2 long"
-    rows = narrow.mapInArrow(_band_rows(width), schema)
+    rows = spread(narrow).mapInArrow(_band_rows(width), schema)
     sampled = narrow.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLE)) == 0).mapInArrow(_band_rows(width), schema)
     cells = _cells(rows, sampled, max(bucket_size, narrow.count() * BANDS // MAX_HOT))
     found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_pairs_in_buckets(least_matches(threshold, miss)), "a long, b long")
