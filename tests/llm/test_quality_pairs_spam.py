@@ -156,6 +156,28 @@ def test_viterbi_in_step_equals_viterbi_alone():
     assert all((a == spam.viterbi([s])[0]).all() for a, s in zip(together, sequences)) and [len(a) for a in together] == [1, 7, 3, 7, 20]
 
 
+def test_training_recovers_how_sticky_states_are():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    truth = spam.untrained()
+    move = np.where(np.eye(5, dtype=bool), 0.98, 0.005)
+    sequences, states = [], []
+    for _ in range(300):
+        at, symbols, path = rng.integers(5), [], []
+        for _ in range(40):
+            symbols.append(int(rng.choice(8, p=truth.emit[at])))
+            path.append(at)
+            at = rng.choice(5, p=move[at])
+        sequences.append(symbols)
+        states.append(path)
+    model = spam.train(sequences, held=50)
+    assert np.diag(model.move).min() > 0.95 and np.allclose(model.emit.sum(1), 1) and np.allclose(model.move.sum(1), 1)
+    right = lambda m: np.mean([(a == b).mean() for a, b in zip(spam.viterbi(sequences, m), map(np.array, states))])
+    assert right(model) > max(0.97, right(None))
+    assert (spam.train([]).emit == truth.emit).all()
+
+
 def test_pages_without_text(spark):
     common = spark.createDataFrame([("the",)], "word string")
     df = spark.createDataFrame([(1, None), (2, " "), (None, "x"), (3, "…")], "doc_id long, text string")
