@@ -202,7 +202,7 @@ def bbox_anti(spark: SparkSession, d: str) -> DataFrame:
     return blocks.outside_boxes(_words(spark, d), boxes, ["page"]).select("page", "ord")
 
 
-@query(f"select page, ord, row_number() over (partition by page order by top, x0, ord) \"position\" from {WORDS}")
+@query(f"select page, ord, row_number() over (partition by page order by top, x0, ord)::int \"position\" from {WORDS}")
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
     return blocks.reading_order(_words(spark, d), ["page"]).select("page", "ord", "position")
 
