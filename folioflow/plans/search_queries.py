@@ -246,12 +246,24 @@ n as (select query_id, count(*) n from t group by 1),
 d as (select query_id text_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> ''))) w from (select distinct query_id, query from rag_queries))
 select query_id, text_id, round(count(*) / any_value(n), 6) score from t join d using (w) join n using (query_id) group by 1, 2""")
 def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Shared words of every pair of a short evaluation fact and a logged question."""
+    """Shared words of every pair of a short evaluation fact and a logged question, as its SQL has it; all items: ``rerank_overlap_all``."""
     facts = table(spark, d, "eval_items").where("suite = 'short_facts'").select(F.col("item_id").alias("query_id"), "text")
     asked = table(spark, d, "rag_queries").select("query_id", "query").distinct().select(F.col("query_id").alias("text_id"), F.col("query").alias("t"))
     return rerank.overlap_pairs(facts, asked, "text", "t").withColumn("score", F.round("score", 6))
 
 
+@query("""
+with t as (select item_id query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> ''))) w from eval_items),
+n as (select query_id, count(*) n from t group by 1),
+d as (select query_id text_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> ''))) w from (select distinct query_id, query from rag_queries))
+select query_id, text_id, round(count(*) / any_value(n), 6) score from t join d using (w) join n using (query_id) group by 1, 2""")
+def rerank_overlap_all(spark: SparkSession, d: str) -> DataFrame:
+    """Shared words of every pair of an evaluation item, of whatever suite, and a logged question."""
+    items = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "text")
+    asked = table(spark, d, "rag_queries").select("query_id", "query").distinct().select(F.col("query_id").alias("text_id"), F.col("query").alias("t"))
+    return rerank.overlap_pairs(items, asked, "text", "t").withColumn("score", F.round("score", 6))
+
+
 @query(f"select chunk_id, left(text_for_embedding, 220) short, case when length(text_for_embedding) > 240 then left(replace(text_for_embedding, chr(10), ' '), 237) || '...' else replace(text_for_embedding, chr(10), ' ') end line from {CURRENT}")
 def previews(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text_for_embedding")

@@ -1,8 +1,10 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from folioflow.functions.vectors import cosine, cosine_to
 from folioflow.operators import health, rerank, search
 
@@ -114,3 +116,12 @@ def test_health(spark, corpus):
     assert "not found" in health.check_corpus(chunks, "other", 2)["error"]
     state = health.check_corpus(chunks, "m", 2)
     assert state["ok"] and state["chunk_count"] == 9 and state["odd_vectors"] == 1
+
+
+def test_overlap_takes_items_of_every_suite(spark, data):
+    items = spark.read.parquet(f"{data}/eval_items.parquet").select("item_id", "suite", "text").collect()
+    asked = {(r["query_id"], r["query"]) for r in spark.read.parquet(f"{data}/rag_queries.parquet").select("query_id", "query").collect()}
+    terms = lambda t: {w for w in re.split(r"[ \t\n\r\f\v]+", (t or "").lower()) if w}
+    want = {(i["item_id"], q): round(len(a & b) / len(a), 6) for i in items for q, t in asked if (a := terms(i["text"])) & (b := terms(t))}
+    got = {(r["query_id"], r["text_id"]): r["score"] for r in entry.queries()["rerank_overlap_all"](spark, data).collect()}
+    assert got == want and {i["suite"] for i in items if any((i["item_id"], q) in got for q, _ in asked)} == {i["suite"] for i in items}
