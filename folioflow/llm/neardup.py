@@ -269,6 +269,11 @@ def near_duplicate_links(
     stay. Texts of fewer than ``width`` words make no pair, not even with their copies. Ties, repeated rows, NULLs and empty
     tables need no care: each pair comes once, and nothing comes from nothing.
     """
+    return _linked(members, texts, width, threshold, miss, spelled)[2]
+
+
+def _linked(members: DataFrame, texts: DataFrame, width: int, threshold: float, miss: float, spelled: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of similar classes, classes of several ids whose text is long enough to pair, and the links of :func:`near_duplicate_links`."""
     pairs = materialize(similar_classes(texts, width=width, threshold=threshold, miss=miss).select("a", "b"), "links")
     member = members.where(F.col("id").isNotNull() & F.col("cls").isNotNull()).select("id", "cls").distinct()
     rank = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
@@ -283,6 +288,7 @@ def near_duplicate_links(
         .select(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b"))
     )
     copied = texts.select("cls", "text").join(several.select("cls").distinct(), "cls", "left_semi").mapInArrow(_long_enough(width), "cls long").distinct()
+    copied = materialize(copied, "copied")
     several = several.join(copied, "cls", "left_semi")
     small = several.where(F.col("_size") <= spelled).select("cls", "id")
     within = small.join(small.withColumnRenamed("id", "other"), "cls").where("id < other").select(F.col("id").alias("id_a"), F.col("other").alias("id_b"))
@@ -291,7 +297,7 @@ def near_duplicate_links(
         .where("id > id_a")
         .select("id_a", F.col("id").alias("id_b"))
     )
-    return across.unionByName(within).unionByName(star)
+    return pairs, copied, across.unionByName(within).unionByName(star)
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -325,13 +331,18 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 def near_duplicate_groups(members: DataFrame, texts: DataFrame, *, width: int = 5, threshold: float = 0.8, miss: float = 1e-4) -> DataFrame:
     """One row per id with a non-NULL text: ``id``, ``group`` (the smallest id it is linked with, directly or through others) and ``n_links``.
 
-    Inputs as for :func:`near_duplicate_links`; links within classes of more than ``SPELLED`` copies count only those to the smallest id.
+    Inputs as for :func:`near_duplicate_links`. ``n_links`` is the number of other ids with a similar text, however many copies there
+    are: it is summed from the sizes of classes, and links, which large classes shorten to stars, serve the components only.
     """
-    links = materialize(near_duplicate_links(members, texts, width=width, threshold=threshold, miss=miss), "pairs")
-    degree = links.select(F.col("id_a").alias("id")).unionByName(links.select(F.col("id_b").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
+    pairs, copied, links = _linked(members, texts, width, threshold, miss, SPELLED)
+    member = members.where(F.col("id").isNotNull() & F.col("cls").isNotNull()).select("id", "cls").distinct()
+    size = member.groupBy("cls").agg(F.count("*").alias("n"))
+    both = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("a").alias("other")))
+    across = both.join(size.withColumnRenamed("cls", "other"), "other").select("cls", "n")
+    within = size.where("n > 1").join(copied, "cls", "left_semi").select("cls", F.col("n") - 1)
+    degree = across.union(within).groupBy("cls").agg(F.sum("n").alias("n_links"))
     return (
-        members.where(F.col("id").isNotNull() & F.col("cls").isNotNull()).select("id").distinct()
-        .join(components(links), "id", "left")
-        .join(degree, "id", "left")
+        member.join(components(materialize(links, "pairs")), "id", "left")
+        .join(degree, "cls", "left")
         .select("id", F.coalesce("group", "id").alias("group"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )

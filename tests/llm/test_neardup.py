@@ -74,6 +74,19 @@ def test_groups_and_chains(spark):
     assert {out[f"k{i}"]["group"] for i in range(12)} == {"k0"} and out["alone"]["group"] == "alone" and out["alone"]["n_links"] == 0
 
 
+def test_links_are_counted_in_full_in_large_classes(spark):
+    copy, near, short = "the same words again and again and then some", "the same words again and again and then some more", "too short"
+    n = neardup.SPELLED + 44
+    rows = [(f"c{i:03}", copy, "x") for i in range(n)] + [("d0", near, "x"), ("d1", near, "x"), ("alone", "something else entirely is said here", "x")]
+    rows += [(f"s{i:03}", short, "x") for i in range(n)]
+    got = {r["id"]: r["n_links"] for r in neardup.near_duplicate_groups(*links(spark, rows), width=3, threshold=0.6).collect()}
+    want = dict.fromkeys((r[0] for r in rows), 0)
+    for pair in exact(rows, 3, 0.6):
+        for i in pair:
+            want[i] += 1
+    assert got == want and got["c001"] == n + 1 and got["d0"] == n + 1 and got["s000"] == 0
+
+
 def test_long_chain_components(spark):
     edges = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(100) if i != 50], "id_a string, id_b string")
     got = {r["id"]: r["group"] for r in neardup.components(edges).collect()}
