@@ -238,7 +238,8 @@ def nearest(
         sought = groups.select("gid", F.element_at("ids", 1).alias("first"), "vec")
         spread = sought.mapInArrow(_spread(model, blocks, dim, probes), "cell int, block int, gid long, asks boolean, stored boolean, first string, codes binary, vec binary")
     else:
-        some = groups.where(F.exists("ids", asked))
+        # Of ids beyond the first six, too.
+        some = groups.join(keyed.where(asked(F.col("id"))).select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
         every = groups.select("gid", F.element_at("ids", 1).alias("first"), "vec")
         kind = "cell int, block int, gid long, asks boolean, stored boolean, first string, codes binary, vec binary"
         stored = every.mapInArrow(_spread(model, blocks, dim, 1), kind).where("stored").withColumn("asks", F.lit(False))
@@ -246,17 +247,20 @@ def nearest(
         spread = stored.unionByName(asking)
     hits = spread.groupBy("cell", "block").applyInArrow(_score(model, dim, k, floor, shortlist), "q long, c long, first string, cosine double")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "first"))
-    hits = hits.withColumn("place", place).where(F.col("place") <= k)
+    hits = materialize(hits.withColumn("place", place).where(F.col("place") <= k).select("q", "c", "cosine"), "hits")
     ids = groups.select("gid", "ids")
     others = hits.join(ids.withColumnsRenamed({"gid": "c", "ids": "theirs"}), "c").select("q", F.col("cosine"), F.explode("theirs").alias("neighbour"))
     own = ids.where(F.size("ids") > 1).select(F.col("gid").alias("q"), F.lit(1.0).alias("cosine"), F.explode("ids").alias("neighbour"))
     own = own.where(F.col("cosine") >= floor)
     found = ids.select(F.col("gid").alias("q"), F.explode("ids").alias("id")).join(others.unionByName(own), "q").where("id <> neighbour")
-    # Ids beyond the first six of a group of copies: the group is wide, so its rows are spread over salts.
+    # Ids beyond the first six of a group of copies: their five are the smallest of their group's ids and those of groups at cosine
+    # 1, scaled copies. The group is wide, so its rows are spread over salts.
+    tied = others.where("cosine = 1").groupBy("q").agg(F.collect_list("neighbour").alias("tied")).withColumnRenamed("q", "gid")
+    best = F.slice(F.array_sort(F.concat("ids", F.coalesce("tied", F.array().cast("array<string>")))), 1, 5)
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-    wide = groups.where(F.size("ids") == 6).select("k1", "k2", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    wide = groups.where(F.size("ids") == 6).join(tied, "gid", "left").withColumn("best", best).select("k1", "k2", "ids", "best", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     late = keyed.select("id", "k1", "k2", salt.alias("salt")).join(wide, ["k1", "k2", "salt"]).where(~F.array_contains("ids", F.col("id")))
-    late = late.select("id", F.lit(1.0).alias("cosine"), F.explode(F.slice("ids", 1, 5)).alias("neighbour")).where(F.col("cosine") >= floor)
+    late = late.select("id", F.lit(1.0).alias("cosine"), F.explode("best").alias("neighbour")).where(F.col("cosine") >= floor)
     both = found.select("id", "cosine", "neighbour").unionByName(late)
     if asked is not None:
         both = both.where(asked(F.col("id")))

@@ -63,6 +63,14 @@ def test_copies_and_scaled_copies_tie_by_id(spark):
     assert got == brute(rows, 5)
 
 
+def test_scaled_copies_of_smaller_id_reach_every_copy(spark):
+    rows = [(f"c{i:03}", [1.0, 2.0, 3.0], "x") for i in range(40)] + [("a", [2.0, 4.0, 6.0], "x"), ("c0015", [4.0, 8.0, 12.0], "x"), ("far", [-1.0, 0.0, 0.5], "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert found(neighbours.nearest(df, "id", "v", dim=3, k=5, probes=neighbours.ALL)) == brute(rows, 5)
+    late = neighbours.nearest(df, "id", "v", dim=3, k=5, probes=neighbours.ALL, asked=lambda i: i == "c030")
+    assert found(late) == {p for p in brute(rows, 5) if p[0] == "c030"}
+
+
 def test_unusable_vectors_take_no_part(spark):
     bad = [("null", None, "x"), ("short", [1.0], "x"), ("zero", [0.0, 0.0], "x"), ("nan", [float("nan"), 1.0], "x"), ("inf", [float("inf"), 1.0], "x"), ("hole", [None, 1.0], "x"), (None, [1.0, 0.0], "x")]
     got = found(neighbours.nearest(spark.createDataFrame([*bad, ("a", [1.0, 0.0], "x"), ("b", [1.0, 1.0], "x")], SCHEMA), "id", "v", dim=2, k=3, probes=neighbours.ALL))
