@@ -4,7 +4,9 @@ Codebooks: LEVELS full-dimensional books, each trained by k-means on what the bo
 sample of vectors chosen by hash). Encoding keeps a beam of partial sums and takes the best complete one. The first code,
 or the first two of very large collections, names the inverted list a vector is stored in; a query visits the lists that come
 first in its own beam. There it is
-scored against all codes through lookup tables and the stored norms of the sums, and the best are scored again exactly.
+scored against all codes through lookup tables and the stored norms of the sums, and the best are scored again exactly. If
+another member can still be among the best, by how far it lies from its sum, all members are scored exactly: in the lists a
+query visits nothing is lost.
 
 Every vector is indexed. Identical vectors are searched once: each group of copies keeps its six smallest ids, which is
 all that any top-5 can hold of it.
@@ -31,7 +33,7 @@ PROBES, SHORTLIST, BLOCK = 6, 64, 4096
 MOST_LISTS = 4096
 #: As ``probes``: visit every list.
 ALL = 1 << 30
-#: A candidate is scored exactly if its looked-up cosine is at most this much below the floor.
+#: A candidate of the shortlist is scored exactly at once if its looked-up cosine is at most this much below the floor.
 SLACK = 0.3
 #: Parts of a group of more than six copies.
 SALTS = 32
@@ -179,6 +181,10 @@ def _score(model: Codebooks, dim: int, k: int, floor: float, shortlist: int):
         whole = centre + sum(book[codes[:, m]] for m, book in enumerate(rest))
         norm = np.linalg.norm(whole, axis=1).astype(np.float32)
         norm[norm == 0] = 1
+        # How far a member lies from the direction of its sum: what a looked-up score can be wrong by.
+        along = (np.einsum("nd,nd->n", member, whole / norm[:, None])[:, None]).astype(np.float32)
+        aside = np.sqrt(np.maximum(0, 1 - along * along))
+        width = min(k, len(at))
         out: list[list] = [[], [], [], []]
         r = min(shortlist, len(at))
         step = max(1, min(1024, 4_000_000 // len(at)))
@@ -191,16 +197,31 @@ def _score(model: Codebooks, dim: int, k: int, floor: float, shortlist: int):
             score /= norm[:, None]
             near = np.argpartition(-score, r - 1, axis=0)[:r] if r < len(at) else np.broadcast_to(np.arange(r)[:, None], score.shape)
             likely = (np.take_along_axis(score, near, 0) >= floor - SLACK).T
+            np.clip(score, -1, 1, out=score)
+            most = np.where(score >= along, np.float32(1), score * along + np.sqrt(1 - score * score) * aside)  # the greatest cosine it can have
+            np.put_along_axis(most, near, np.where(likely.T, np.float32(-2), np.take_along_axis(most, near, 0)), 0)
             near = np.ascontiguousarray(near.T)
             cosine = np.full(near.shape, -2.0)
             i, j = np.nonzero(likely & (member_gid[near] != gid[ask][:, None]))
             cosine[i, j] = np.round(np.einsum("nd,nd->n", x[ask[i]], member[near[i, j]]), 9)
             cosine = np.take_along_axis(cosine, by_id := np.argsort(near, axis=1), 1)
             near = np.take_along_axis(near, by_id, 1)
-            best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(cosine, best, 1)
+            best = np.argsort(-cosine, axis=1, kind="stable")[:, :width]
+            chosen, value = np.zeros((len(ask), width), np.int64), np.full((len(ask), width), -2.0)
+            chosen[:, : best.shape[1]], value[:, : best.shape[1]] = np.take_along_axis(near, best, 1), np.take_along_axis(cosine, best, 1)
+            # Where a member that wasn't scored exactly can still be among the best, the whole block is.
+            unsure = np.flatnonzero((most >= np.maximum(value[:, -1], floor) - 1e-4).any(0))
+            if len(unsure):
+                exact = np.round(x[ask[unsure]] @ member.T, 9)
+                exact[member_gid[None, :] == gid[ask[unsure]][:, None]] = -2
+                i, j = np.nonzero(exact >= np.partition(exact, len(at) - width, axis=1)[:, [len(at) - width]])
+                order = np.lexsort((j, -exact[i, j], i))
+                i, j = i[order], j[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j, place = i[place < width], j[place < width], place[place < width]
+                chosen[unsure[i], place], value[unsure[i], place] = j, exact[i, j]
             i, j = np.nonzero(value >= max(floor, -1.5))
-            c = near[i, best[i, j]]
+            c = chosen[i, j]
             for column, part in zip(out, (gid[ask][i], member_gid[c], first[c], value[i, j])):
                 column.append(part)
         return pa.Table.from_arrays([pa.array(np.concatenate(o), t.type) for o, t in zip(out, schema)], schema=schema)

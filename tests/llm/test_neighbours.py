@@ -71,6 +71,15 @@ def test_scaled_copies_of_smaller_id_reach_every_copy(spark):
     assert found(late) == {p for p in brute(rows, 5) if p[0] == "c030"}
 
 
+def test_dense_groups_lose_nothing_in_the_lists_visited(spark):
+    rng = np.random.default_rng(6)
+    dense = rng.normal(size=16) + 0.04 * rng.normal(size=(500, 16))
+    rows = clusters(1000, 16, 7) + [(f"d{i:03}", v.tolist(), "x") for i, v in enumerate(dense)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for floor in (0.85, -1.0):
+        assert found(neighbours.nearest(df, "id", "v", dim=16, k=5, floor=floor, probes=neighbours.ALL, shortlist=8)) == brute(rows, 5, floor)
+
+
 def test_unusable_vectors_take_no_part(spark):
     bad = [("null", None, "x"), ("short", [1.0], "x"), ("zero", [0.0, 0.0], "x"), ("nan", [float("nan"), 1.0], "x"), ("inf", [float("inf"), 1.0], "x"), ("hole", [None, 1.0], "x"), (None, [1.0, 0.0], "x")]
     got = found(neighbours.nearest(spark.createDataFrame([*bad, ("a", [1.0, 0.0], "x"), ("b", [1.0, 1.0], "x")], SCHEMA), "id", "v", dim=2, k=3, probes=neighbours.ALL))
