@@ -39,7 +39,18 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/folioflow/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Remove a table of :func:`materialize` that nothing reads any more, before the driver exits."""
+    path = getattr(df, "_folder", None)
+    if path:
+        fs, where = filesystem(df.sparkSession, path)
+        fs.delete(where, True)
+        _written.remove((df.sparkSession, path))
 
 
 def spread(df: DataFrame) -> DataFrame:
