@@ -18,14 +18,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.storage import materialize, spread
+from folioflow.storage import discard, materialize, spread
 
 BANDS, ROWS, BITS, BATCH = 40, 4, 128, 32
 WORD = re.compile(r"[^\W_]+")
-#: Buckets above this size are cut into blocks; at most total/MAX_HOT buckets can be larger than that share.
-BUCKET, MAX_HOT, SAMPLE = 4096, 20_000, 16
-#: Classes of identical texts up to this size are spelled out pair by pair.
-SPELLED = 256
+#: Buckets and classes above these sizes, the same however large the table, are cut into blocks; one class in SAMPLE tells which buckets are.
+BUCKET, BLOCK, SAMPLE = 4096, 1024, 16
 
 
 def words(text: str) -> list[str]:
@@ -113,10 +111,10 @@ def _band_rows(width: int):
 
         for batch in batches:
             ids, sets, size = [], [], 0
-            for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if cls in seen:
+            for cls, k2, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if (cls, k2) in seen:
                     continue
-                seen.add(cls)
+                seen.add((cls, k2))
                 if len(h := shingle(text)):
                     ids.append(cls)
                     sets.append(h)
@@ -184,15 +182,6 @@ def _pairs_in_buckets(least: list[int]):
     return run
 
 
-def _long_enough(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [c for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t is not None and len(words(t)) >= width]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["cls"])
-
-    return run
-
-
 def _verify(width: int, threshold: float):
     def grams(text: str) -> set:
         w = words(text)
@@ -201,103 +190,125 @@ def _verify(width: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, last, own = [], None, set()
-            for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if a != last:
-                    last, own = a, grams(x)
+            for a, a2, b, b2, x, y in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if (a, a2) != last:
+                    last, own = (a, a2), grams(x)
                 other = grams(y)
                 both = len(own & other)
                 either = len(own) + len(other) - both
                 if either and both / either >= threshold:
-                    out.append((a, b, both / either))
+                    out.append((a, a2, b, b2, both / either))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["a", "a2", "b", "b2", "similarity"])
+
+    return run
+
+
+def _long_enough(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select([0, 1]).filter(pa.array([len(words(t)) >= width for t in batch.column(2).to_pylist()], pa.bool_()))
 
     return run
 
 
-def _cells(rows: DataFrame, sampled: DataFrame, bucket_size: int) -> DataFrame:
-    """Rows with the cell they are compared in. A bucket far above ``bucket_size`` is cut into blocks, and each pair of
-    blocks is a cell of its own, so no task gets a whole hot bucket and no pair is lost. Which buckets are hot is
-    estimated from every 16th class; a bucket missed there is still compared, in one cell."""
-    size = sampled.groupBy("bucket").agg((F.count("*") * SAMPLE).alias("size")).where(F.col("size") > bucket_size)
-    hot = size.select("bucket", F.ceil(F.col("size") * 2 / bucket_size).cast("long").alias("blocks"))
-    tagged = rows.join(F.broadcast(hot), "bucket", "left")  # at most 2 * MAX_HOT buckets are that large
-    block = F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks"))
+def _in_cells(rows: DataFrame, key: list[str], hot: DataFrame, member: str) -> DataFrame:
+    """Rows with the ``cell`` they are compared in and their ``side`` of it.
+
+    A key listed in ``hot`` with its number of ``blocks`` is cut into them by the hash of ``member``, and each pair of blocks is a cell of
+    its own (sides 0 and 1; a block with itself is side -1): no task gets a whole hot key and no pair is lost. ``hot`` is a written
+    table, so Spark knows its size: it is sent round while it is small and merge-joined, skewed parts split, where it isn't.
+    """
     zero = F.lit(0).cast("long")
-    other = F.explode(F.when(F.col("blocks").isNull(), F.array(zero)).otherwise(F.sequence(zero, F.col("blocks") - 1)))
-    spread = tagged.withColumn("block", block).withColumn("other", other)
-    cell = F.when(F.col("blocks").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
+    tagged = rows.join(hot, key, "left").withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64(member, F.lit(7)), F.col("blocks"))))
+    others = F.when(F.col("blocks").isNull(), F.array(zero)).otherwise(F.sequence(zero, F.col("blocks") - 1))
+    cell = F.when(F.col("blocks").isNull(), F.xxhash64(*key)).otherwise(F.xxhash64(*key, F.least("block", "other"), F.greatest("block", "other")))
     side = F.when(F.col("blocks").isNull() | (F.col("block") == F.col("other")), -1).otherwise((F.col("block") > F.col("other")).cast("int"))
-    return spread.select(cell.alias("cell"), "cls", "s1", "s2", side.cast("long").alias("side"))
+    return tagged.withColumn("other", F.explode(others)).withColumns({"cell": cell, "side": side.cast("long")}).drop("blocks", "block", "other")
+
+
+def _blocks(size: Column, most: int) -> Column:
+    """Blocks such that two of them hold about ``most`` members."""
+    return F.ceil(size * 2 / most).cast("long").alias("blocks")
 
 
-def similar_classes(texts: DataFrame, *, width: int = 5, threshold: float = 0.8, miss: float = 1e-4, bucket_size: int = BUCKET) -> DataFrame:
-    """Pairs ``a < b`` of text classes with Jaccard ``similarity`` >= ``threshold``.
+def similar_classes(texts: DataFrame, *, width: int = 5, threshold: float = 0.8, miss: float = 1e-4, bucket_size: int = BUCKET, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of similar classes, and the texts that were compared.
 
-    ``texts``: ``cls`` bigint, ``text`` string; one class is one text, and its rows may repeat.
-    Texts of fewer than ``width`` words and NULL texts pair with nothing.
+    ``texts``: ``cls``, ``k2``, the two halves of a class, and its ``text``; one class is one text, and its rows may repeat.
+    The pairs: ``a``, ``a2``, ``b``, ``b2`` (``a`` < ``b``) and their Jaccard ``similarity`` >= ``threshold``. The texts: those of
+    candidates and of the classes in ``also``, once each. Texts of fewer than ``width`` words and NULL texts pair with nothing.
+
+    Candidates carry the first half only: two texts that share it send their bands under one name and are verified each for itself.
+    Which buckets hold more than ``bucket_size`` classes, whatever the number of texts, is estimated from every 16th class. The estimate
+    decides how a bucket is cut and never what is found; that a bucket of twice the size is missed has a probability below 1e-25.
     """
-    narrow = texts.select("cls", "text").where(F.col("text").isNotNull())
+    narrow = texts.select("cls", "k2", "text").where(F.col("text").isNotNull())
     schema = "bucket long, cls long, s1 long, s2 long"
     rows = spread(narrow).mapInArrow(_band_rows(width), schema)
     sampled = narrow.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLE)) == 0).mapInArrow(_band_rows(width), schema)
-    cells = _cells(rows, sampled, max(bucket_size, narrow.count() * BANDS // MAX_HOT))
+    size = (F.count("*") * SAMPLE).alias("size")
+    hot = materialize(sampled.groupBy("bucket").agg(size).where(F.col("size") > bucket_size).select("bucket", _blocks(F.col("size"), bucket_size)), "hot")
+    cells = _in_cells(rows, ["bucket"], hot, "cls").select("cell", "cls", "s1", "s2", "side")
     found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_pairs_in_buckets(least_matches(threshold, miss)), "a long, b long")
     pairs = materialize(found.distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
+    wanted = wanted.union(also.select("cls")) if also is not None else wanted
     # Merge joins at every size: none of these sides has a bound.
-    kept = narrow.join(wanted.hint("merge"), "cls", "left_semi").dropDuplicates(["cls"])
-    left = pairs.hint("merge").join(kept.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a")
-    both = left.hint("merge").join(kept.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify(width, threshold), "a long, b long, similarity double")
+    kept = materialize(narrow.join(wanted.distinct().hint("merge"), "cls", "left_semi").dropDuplicates(["cls", "k2"]), "texts")
+    left = pairs.hint("merge").join(kept.select(F.col("cls").alias("a"), F.col("k2").alias("a2"), F.col("text").alias("x")), "a")
+    both = left.hint("merge").join(kept.select(F.col("cls").alias("b"), F.col("k2").alias("b2"), F.col("text").alias("y")), "b")
+    return both.select("a", "a2", "b", "b2", "x", "y").mapInArrow(_verify(width, threshold), "a long, a2 long, b long, b2 long, similarity double"), kept
+
+
+def class_of(text: Column) -> tuple[Column, Column]:
+    """The class of a text, ``cls`` and ``k2``: two 64-bit hashes of it; NULL for NULL. Only texts that agree in both are taken to be one."""
+    return F.when(text.isNotNull(), F.xxhash64(text)).alias("cls"), F.when(text.isNotNull(), F.xxhash64(text, F.lit(1))).alias("k2")
 
 
-def class_of(text: Column) -> Column:
-    """The class of a text is a 64-bit hash of it; NULL for NULL."""
-    return F.when(text.isNotNull(), F.xxhash64(text))
+def near_duplicate_classes(members: DataFrame, texts: DataFrame, *, width: int = 5, threshold: float = 0.8, miss: float = 1e-4, bucket_size: int = BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of similar classes, membership, and sizes of classes: the whole result without spelling copies out.
+
+    ``members``: ``id``, ``cls`` and ``k2``, the class of its text; ``texts``: ``cls``, ``k2`` and ``text``, with the text of every
+    class. Texts may repeat, and may be of classes without members, as older versions are: so whole texts needn't be shuffled to
+    find the current ones. Pairs: ``a``, ``a2``, ``b``, ``b2``. Membership: ``id``, ``cls``, ``k2``, once each; NULL ids and
+    texts take no part. Sizes: ``cls``, ``k2``, ``n`` (members), ``first`` (the smallest id), ``alike``: whether its members are
+    similar to one another, which texts of fewer than ``width`` words are not.
+    """
+    member = members.where(F.col("id").isNotNull() & F.col("cls").isNotNull()).select("id", "cls", "k2").distinct()
+    size = materialize(member.groupBy("cls", "k2").agg(F.count("*").alias("n"), F.min("id").alias("first")), "classes")
+    pairs, kept = similar_classes(texts, width=width, threshold=threshold, miss=miss, bucket_size=bucket_size, also=size.where("n > 1"))
+    pairs = materialize(pairs.select("a", "a2", "b", "b2"), "links")
+    alike = kept.join(size.where("n > 1").select("cls", "k2"), ["cls", "k2"], "left_semi").mapInArrow(_long_enough(width), "cls long, k2 long")
+    return pairs, member, materialize(size.join(alike.withColumn("alike", F.lit(True)), ["cls", "k2"], "left"), "sizes")
 
 
 def near_duplicate_links(
-    members: DataFrame, texts: DataFrame, *, width: int = 5, threshold: float = 0.8, miss: float = 1e-4, spelled: int = SPELLED
+    members: DataFrame, texts: DataFrame, *, width: int = 5, threshold: float = 0.8, miss: float = 1e-4, bucket_size: int = BUCKET, block: int = BLOCK
 ) -> DataFrame:
-    """Pairs ``id_a < id_b`` of different ids with similar texts.
-
-    ``members``: ``id`` and ``cls``, the class of its text; ``texts``: ``cls`` and ``text``, with the text of every class. Texts
-    may repeat, and may be of classes without members, as older versions are: so whole texts needn't be shuffled to find the
-    current ones. Classes of up to ``spelled`` identical texts are written out pair by pair; in a larger class each id is
-    linked with the class's smallest one, and similar classes with that one, so components and links between different texts
-    stay. Texts of fewer than ``width`` words make no pair, not even with their copies. Ties, repeated rows, NULLs and empty
-    tables need no care: each pair comes once, and nothing comes from nothing.
+    """Every pair ``id_a < id_b`` of different ids with similar texts, copies included, once each.
+
+    Inputs as for :func:`near_duplicate_classes`. Classes of more than ``block`` copies are cut into blocks and spelled out
+    a pair of blocks at a time. Ties, repeated rows, NULLs and empty tables need no care: nothing comes from nothing.
     """
-    return _linked(members, texts, width, threshold, miss, spelled)[2]
-
-
-def _linked(members: DataFrame, texts: DataFrame, width: int, threshold: float, miss: float, spelled: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of similar classes, classes of several ids whose text is long enough to pair, and the links of :func:`near_duplicate_links`."""
-    pairs = materialize(similar_classes(texts, width=width, threshold=threshold, miss=miss).select("a", "b"), "links")
-    member = members.where(F.col("id").isNotNull() & F.col("cls").isNotNull()).select("id", "cls").distinct()
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
-    first = member.withColumn("_rank", rank).where(F.col("_rank") <= spelled + 1)  # the rank limit also runs before the shuffle
-    size = F.count("*").over(Window.partitionBy("cls"))
-    ends = first.withColumn("_size", size).where((F.col("_size") <= spelled) | (F.col("_rank") == 1))
-    several = materialize(ends.where("_size > 1"), "copies")
-    ends = ends.select("cls", "id")
-    across = (
-        pairs.join(ends.withColumnsRenamed({"cls": "a", "id": "u"}), "a")
-        .join(ends.withColumnsRenamed({"cls": "b", "id": "v"}), "b")
-        .select(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b"))
-    )
-    copied = texts.select("cls", "text").join(several.select("cls").distinct(), "cls", "left_semi").mapInArrow(_long_enough(width), "cls long").distinct()
-    copied = materialize(copied, "copied")
-    several = several.join(copied, "cls", "left_semi")
-    small = several.where(F.col("_size") <= spelled).select("cls", "id")
-    within = small.join(small.withColumnRenamed("id", "other"), "cls").where("id < other").select(F.col("id").alias("id_a"), F.col("other").alias("id_b"))
-    star = (
-        member.join(several.where(F.col("_size") > spelled).select("cls", F.col("id").alias("id_a")), "cls")
-        .where("id > id_a")
-        .select("id_a", F.col("id").alias("id_b"))
-    )
-    return pairs, copied, across.unionByName(within).unionByName(star)
+    pairs, member, sizes = near_duplicate_classes(members, texts, width=width, threshold=threshold, miss=miss, bucket_size=bucket_size)
+    key = ["cls", "k2"]
+    hot = materialize(sizes.where(F.col("n") > block).select(*key, _blocks(F.col("n"), block)), "hot")
+    number = F.coalesce(F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")), F.lit(0).cast("long"))
+    blocked = member.join(hot, key, "left").select(*key, number.alias("block"), "id")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks") - 1, F.lit(0).cast("long"))))
+    for side in ("a", "b"):
+        mine = hot.withColumnsRenamed({"cls": side, "k2": f"{side}2"})
+        pairs = pairs.join(mine, [side, f"{side}2"], "left").withColumn(f"{side}_block", every).drop("blocks")
+    left = blocked.withColumnsRenamed({"cls": "a", "k2": "a2", "block": "a_block", "id": "u"})
+    right = blocked.withColumnsRenamed({"cls": "b", "k2": "b2", "block": "b_block", "id": "v"})
+    across = pairs.join(left, ["a", "a2", "a_block"]).join(right, ["b", "b2", "b_block"]).select(F.least("u", "v").alias("id_a"), F.greatest("u", "v").alias("id_b"))
+    several = member.join(sizes.where("n > 1 and alike").select(*key), key, "left_semi")
+    cells = _in_cells(several, key, hot, "id").select(*key, "cell", "side", "id")
+    other = cells.withColumnsRenamed({"id": "id_b", "side": "other_side"})
+    opposite = F.col("id").__lt__(F.col("id_b")) & ((F.col("side") < 0) | (F.col("side") != F.col("other_side")))
+    within = cells.join(other, [*key, "cell"]).where(opposite).select(F.col("id").alias("id_a"), "id_b")
+    return across.unionByName(within)
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -318,7 +329,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
             .unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
-        edges = materialize(new, "edges")
+        edges, old = materialize(new, "edges"), edges
+        discard(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == mark:
             break
@@ -328,21 +340,21 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("group")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group")).distinct())
 
 
-def near_duplicate_groups(members: DataFrame, texts: DataFrame, *, width: int = 5, threshold: float = 0.8, miss: float = 1e-4) -> DataFrame:
+def near_duplicate_groups(members: DataFrame, texts: DataFrame, *, width: int = 5, threshold: float = 0.8, miss: float = 1e-4, bucket_size: int = BUCKET) -> DataFrame:
     """One row per id with a non-NULL text: ``id``, ``group`` (the smallest id it is linked with, directly or through others) and ``n_links``.
 
-    Inputs as for :func:`near_duplicate_links`. ``n_links`` is the number of other ids with a similar text, however many copies there
-    are: it is summed from the sizes of classes, and links, which large classes shorten to stars, serve the components only.
+    Inputs as for :func:`near_duplicate_classes`. ``n_links`` is the number of other ids with a similar text, summed from the sizes of
+    classes; components are those of classes, each under its smallest id. Copies are never spelled out.
     """
-    pairs, copied, links = _linked(members, texts, width, threshold, miss, SPELLED)
-    member = members.where(F.col("id").isNotNull() & F.col("cls").isNotNull()).select("id", "cls").distinct()
-    size = member.groupBy("cls").agg(F.count("*").alias("n"))
-    both = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("cls"), F.col("a").alias("other")))
-    across = both.join(size.withColumnRenamed("cls", "other"), "other").select("cls", "n")
-    within = size.where("n > 1").join(copied, "cls", "left_semi").select("cls", F.col("n") - 1)
-    degree = across.union(within).groupBy("cls").agg(F.sum("n").alias("n_links"))
-    return (
-        member.join(components(materialize(links, "pairs")), "id", "left")
-        .join(degree, "cls", "left")
-        .select("id", F.coalesce("group", "id").alias("group"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    )
+    key = ["cls", "k2"]
+    pairs, member, sizes = near_duplicate_classes(members, texts, width=width, threshold=threshold, miss=miss, bucket_size=bucket_size)
+    one, two = {"a": "cls", "a2": "k2", "b": "o", "b2": "o2"}, {"b": "cls", "b2": "k2", "a": "o", "a2": "o2"}
+    both = pairs.withColumnsRenamed(one).unionByName(pairs.withColumnsRenamed(two))
+    theirs = sizes.select(F.col("cls").alias("o"), F.col("k2").alias("o2"), F.col("n"), F.col("first").alias("other"))
+    linked = materialize(both.join(theirs, ["o", "o2"]).join(sizes.select(*key, "first"), key).select(*key, "n", "first", "other"), "linked")
+    within = sizes.where("n > 1 and alike").select(*key, F.col("n") - 1)
+    degree = linked.select(*key, "n").union(within).groupBy(*key).agg(F.sum("n").alias("n_links"))
+    group = components(linked.where("first < other").select(F.col("first").alias("id_a"), F.col("other").alias("id_b")))
+    named = sizes.join(degree, key, "left").join(group.withColumnRenamed("id", "first"), "first", "left")
+    named = named.select(*key, F.coalesce("group", F.when(F.col("alike"), F.col("first"))).alias("group"), "n_links")
+    return member.join(named, key).select("id", F.coalesce("group", "id").alias("group"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -25,8 +25,9 @@ def chunk_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """The class of each current chunk's text, and the texts of all versions with their classes."""
     chunks = table(spark, sf_dir, "chunks")
     text = F.col("text_for_embedding")
-    members = current_rows(chunks, "chunk_id", "updated_at", {"cls": neardup.class_of(text)}).withColumnRenamed("chunk_id", "id")
-    return materialize(members, "members"), chunks.select(neardup.class_of(text).alias("cls"), text.alias("text"))
+    cls, k2 = neardup.class_of(text)
+    members = current_rows(chunks, "chunk_id", "updated_at", {"cls": cls, "k2": k2}).withColumnRenamed("chunk_id", "id")
+    return materialize(members, "members"), chunks.select(cls, k2, text.alias("text"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +131,15 @@ select x as chunk_id_a, y as chunk_id_b from both_sides join sizes a on a.chunk_
 where shared >= {threshold} * (a.n + b.n - shared)"""
 
 
+GROUPS_SQL = f"""
+with recursive pairs as ({shingle_pairs_sql(5, 0.8)}),
+links as (select chunk_id_a u, chunk_id_b v from pairs union all select chunk_id_b, chunk_id_a from pairs),
+reached(u, v) as (select u, v from links union select r.u, l.v from reached r join links l on r.v = l.u),
+groups as (select u, min(v) least from reached group by 1), degrees as (select u, count(*) n from links group by 1)
+select chunk_id, least(chunk_id, coalesce(g.least, chunk_id)) group_id, coalesce(n, 0) n_links
+from {CURRENT} left join groups g on g.u = chunk_id left join degrees d on d.u = chunk_id where text_for_embedding is not null"""
+
+
 P4_SQL = f"""
 with usable as (select chunk_id, embedding::double[64] e from {CURRENT}
   where len(embedding) = 64 and not list_contains(list_transform(embedding, lambda x: isnan(x) or x is null or isinf(x)), true)
@@ -167,4 +177,4 @@ QUERIES = {
     "p9_pages": p9_pages,
 }
 
-SQL = {"p1_found": shingle_pairs_sql(3, 0.6), "p2_found": P2_SQL, "p4_found": P4_SQL, "p8_found": P8_SQL}
+SQL = {"p1_found": shingle_pairs_sql(3, 0.6), "p1_groups": GROUPS_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p8_found": P8_SQL}

@@ -8,8 +8,8 @@ from folioflow.llm import neardup
 
 def links(spark, rows, **more):
     df = spark.createDataFrame(rows, "id string, text string, cls_a string")
-    members = df.select("id", neardup.class_of(F.col("text")).alias("cls"))
-    texts = df.select(neardup.class_of(F.col("text")).alias("cls"), "text")
+    members = df.select("id", *neardup.class_of(F.col("text")))
+    texts = df.select(*neardup.class_of(F.col("text")), "text")
     return members, texts
 
 
@@ -54,17 +54,37 @@ def test_hot_buckets_are_cut_into_blocks_without_loss(spark):
         edited = list(base)
         edited[rng.randrange(60)] = f"x{i}"
         rows.append((f"id{i:03}", " ".join(edited), "x"))
-    _, texts = links(spark, rows)
-    pairs = neardup.similar_classes(texts, width=3, threshold=0.6, bucket_size=16)
+    pairs, _ = neardup.similar_classes(links(spark, rows)[1], width=3, threshold=0.6, bucket_size=16)
     assert pairs.count() == len(exact(rows, 3, 0.6)) == 150 * 149 // 2
 
 
-def test_copies(spark):
-    rows = [(f"c{i:02}", "the same words again and again", "x") for i in range(12)] + [("d", "the same words again and again too", "x")] * 2
-    full = neardup.near_duplicate_links(*links(spark, rows), width=3, threshold=0.6)
-    assert full.count() == 13 * 12 // 2
-    star = {tuple(r) for r in neardup.near_duplicate_links(*links(spark, rows), width=3, threshold=0.6, spelled=4).collect()}
-    assert star == {("c00", f"c{i:02}") for i in range(1, 12)} | {("c00", "d")}
+def test_hot_buckets_are_joined_where_they_are_too_many_to_send_round(spark):
+    rows = corpus(40, seed=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs, _ = neardup.similar_classes(links(spark, rows)[1], width=3, threshold=0.6, bucket_size=1)  # every sampled bucket is cut
+        got = pairs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    distinct = {t: i for i, t, _ in rows}
+    assert got == len(exact([(i, t, "x") for t, i in distinct.items()], 3, 0.6))
+
+
+def test_copies_are_all_linked_on_both_sides_of_a_block(spark):
+    copy, near = "the same words again and again and then some", "the same words again and again and then some more"
+    rows = [(f"c{i:04}", copy, "x") for i in range(1000)] + [("d0", near, "x"), ("d1", near, "x"), ("d1", near, "x")]
+    rows += [(f"s{i}", "too short", "x") for i in range(50)]
+    for block in (16, 4096):
+        got = [tuple(r) for r in neardup.near_duplicate_links(*links(spark, rows), width=3, threshold=0.6, block=block).collect()]
+        assert len(got) == len(set(got)) == 1002 * 1001 // 2 and all(a < b for a, b in got)
+
+
+def test_texts_that_share_half_a_class_are_two(spark):
+    base = [f"w{i}" for i in range(30)]
+    rows = [(1, 1, " ".join(base)), (1, 2, " ".join(f"y{i}" for i in range(30))), (2, 3, " ".join(base[1:])), (3, 4, " ".join(f"y{i}" for i in range(1, 30)))]
+    pairs, _ = neardup.similar_classes(spark.createDataFrame(rows, "cls long, k2 long, text string"), width=3, threshold=0.6)
+    assert {(r["a"], r["a2"], r["b"], r["b2"]) for r in pairs.collect()} == {(1, 1, 2, 3), (1, 2, 3, 4)}
 
 
 def test_groups_and_chains(spark):
@@ -76,7 +96,7 @@ def test_groups_and_chains(spark):
 
 def test_links_are_counted_in_full_in_large_classes(spark):
     copy, near, short = "the same words again and again and then some", "the same words again and again and then some more", "too short"
-    n = neardup.SPELLED + 44
+    n = 300
     rows = [(f"c{i:03}", copy, "x") for i in range(n)] + [("d0", near, "x"), ("d1", near, "x"), ("alone", "something else entirely is said here", "x")]
     rows += [(f"s{i:03}", short, "x") for i in range(n)]
     got = {r["id"]: r["n_links"] for r in neardup.near_duplicate_groups(*links(spark, rows), width=3, threshold=0.6).collect()}
