@@ -2,10 +2,13 @@
 
 Only the histogram of lengths (at most ``capacity`` numbers) reaches the driver. There, patterns of up to three lengths
 that fill the capacity exactly, or an exact half, quarter or eighth of it several times over, are enumerated; repeat
-counts are fitted to the histogram by non-negative least squares and rounded down; what is left is packed best-fit,
-longest first, in bulk. The resulting plan, whose size depends on the capacity and not on the data, says for every range
-of ranks among the texts of one length which sequences they go to. Ranks are counted per length and salt, so a length that a
-third of all texts share is no hot group.
+counts are fitted to the histogram by non-negative least squares, first of all patterns, then of a bounded number of them drawn evenly
+along the first fit, and rounded; what is left is packed best-fit, longest first, in bulk. The resulting plan says for every range
+of ranks among the texts of one length which sequences they go to; a text finds its range by one sorted search. Ranks are counted
+per length and salt, so a length that a third of all texts share is no hot group.
+
+The plan's size depends on the capacity alone: at most SUPPORT x capacity patterns of three lengths, and two best-fit groups a length
+(a step of :func:`best_fit` either ends a length or moves a whole group).
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import importlib.util
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 from folioflow.storage import materialize
 
 TOKENIZERS = "/opt/tokenizers"
-#: Parts of the capacity that a pattern fills; rounds of the fit; texts counted in one salt, at most.
-PARTS, ROUNDS, PER_SALT = (1, 2, 4, 8), 120, 1_000_000
+#: Parts of the capacity that a pattern fills; rounds of the first fit, and of that of the chosen patterns; texts counted in one salt, at most.
+PARTS, ROUNDS, REFINED, PER_SALT = (1, 2, 4, 8), 40, 2000, 1_000_000
+#: Patterns chosen, in capacities; sequences that a chosen pattern should have, at least (fewer make rounding dominate).
+SUPPORT, REPEATS = 4, 4
 
 
 def tokenizer(folder: str, name: str):
@@ -99,6 +105,13 @@ def fit(histogram: np.ndarray, triples: np.ndarray, times: np.ndarray, rounds: i
     return x
 
 
+def choose(x: np.ndarray, triples: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` patterns, in even steps along the repeat counts ``x`` in the order of their lengths: alike patterns stand for one another."""
+    order = np.lexsort((triples[:, 1], triples[:, 0]))
+    total = np.cumsum(x[order])
+    return order[np.unique(np.searchsorted(total, (np.arange(most) + 0.5) * total[-1] / most))]
+
+
 def plan(histogram: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     """Patterns (length to number of texts) and how many sequences follow each; every text of the histogram is in one.
 
@@ -108,8 +121,11 @@ def plan(histogram: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int
     left[0] = 0
     out: list[tuple[dict[int, int], int]] = []
     triples, times = patterns(np.flatnonzero(left), capacity)
-    if len(triples):
-        x = fit(left, triples, times)
+    x = fit(left, triples, times)
+    if x.sum() >= 1:
+        chosen = choose(x, triples, min(SUPPORT * capacity, max(1, int(x.sum() / REPEATS))))
+        triples, times = triples[chosen], times[chosen]
+        x = np.rint(fit(left, triples, times, REFINED))
         for k in np.argsort(-x, kind="stable"):
             if x[k] < 1:
                 break
@@ -158,18 +174,50 @@ def best_fit(histogram: np.ndarray, capacity: int) -> list[tuple[dict[int, int],
     return [group for groups in rooms.values() for group in groups]
 
 
-def _plan_rows(packed: list[tuple[dict[int, int], int]], first: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, from rank, to rank, first sequence, texts of the length in a sequence, position of the first) of each pattern."""
+@dataclass
+class Steps:
+    """A plan as arrays sorted by ``key``, length and first rank of a range of texts."""
+
+    key: np.ndarray
+    low: np.ndarray
+    first: np.ndarray  # sequence of the range's first texts
+    times: np.ndarray  # texts of the length in a sequence
+    at: np.ndarray  # position of the first of them
+    sequences: int
+
+    SHIFT = 44  # ranks are below 2 ** 44
+
+    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and position of each text."""
+        k = np.searchsorted(self.key, (length << self.SHIFT) | rank, "right") - 1
+        turn = rank - self.low[k]
+        return self.first[k] + turn // self.times[k], self.at[k] + turn % self.times[k] * length
+
+
+def steps(packed: list[tuple[dict[int, int], int]]) -> Steps:
     used: dict[int, int] = defaultdict(int)
-    rows = []
+    rows, first = [], 0
     for content, n in packed:
         at = 0
         for length, m in sorted(content.items(), reverse=True):
-            rows.append((length, used[length], used[length] + n * m, first, m, at))
+            rows.append((length << Steps.SHIFT | used[length], used[length], first, m, at))
             used[length] += n * m
             at += length * m
         first += n
-    return rows
+    table = np.array(sorted(rows), np.int64).reshape(-1, 5).T
+    return Steps(*table, first)
+
+
+def _place(shared, capacity: int):
+    names = ["doc_id", "piece", "token_start", "n_tokens", "sequence_id", "position"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, length, rank = (np.asarray(batch.column(k)) for k in (1, 2, 3))
+            sequence, position = shared.value.find(length, rank)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, (whole * capacity, length, sequence, position))], names)
+
+    return run
 
 
 def pack(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -187,9 +235,8 @@ def pack(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     histogram = np.zeros(capacity + 1, np.int64)
     for r in lengths:
         histogram[r["length"]] = r["count"]
-    rows = _plan_rows(plan(histogram, capacity), 0)
-    steps = spark.createDataFrame(rows, "length long, low long, high long, first long, times long, at long")
-    sequences = max((f + (high - low) // m for _, low, high, f, m, _ in rows), default=0)
+    found = steps(plan(histogram, capacity))
+    sequences, shared = found.sequences, spark.sparkContext.broadcast(found)
 
     salts = max(16, total["n"] // PER_SALT)
 
@@ -202,16 +249,8 @@ def pack(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         return salted.withColumn("own", own).join(sizes.withColumn("before", before).drop("count"), [*keys, "salt"]).withColumn("rank", F.col("before") + F.col("own") - 1)
 
     pieces = counted.select("doc_id", F.floor(F.col("tokens") / capacity).alias("whole"), rest.alias("length"), "tokens")
-    tails = ranked(pieces.where("length > 0"), ["length"]).join(F.broadcast(steps), "length").where("rank >= low and rank < high")
-    turn = F.col("rank") - F.col("low")
-    tails = tails.select(
-        "doc_id",
-        F.col("whole").alias("piece"),
-        (F.col("whole") * capacity).alias("token_start"),
-        F.col("length").alias("n_tokens"),
-        (F.col("first") + F.floor(turn / F.col("times"))).alias("sequence_id"),
-        (F.col("at") + turn % F.col("times") * F.col("length")).alias("position"),
-    )
+    tails = ranked(pieces.where("length > 0"), ["length"]).select("doc_id", "whole", "length", F.col("rank").cast("long").alias("rank"))
+    tails = tails.mapInArrow(_place(shared, capacity), "doc_id long, piece long, token_start long, n_tokens long, sequence_id long, position long")
     whole = pieces.where("whole > 0").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("piece"))
     whole = ranked(whole.withColumn("length", F.lit(capacity).cast("long")), ["length"]).select(
         "doc_id", "piece", (F.col("piece") * capacity).alias("token_start"), F.lit(capacity).cast("long").alias("n_tokens"), (F.col("rank") + sequences).alias("sequence_id"), F.lit(0).cast("long").alias("position")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm import contamination, neardup, neighbours, packing, pairs, quality, spam, split
@@ -66,6 +66,18 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumnRenamed("id", "chunk_id")
 
 
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every split text put together again from its pieces, with the sizes and overlaps of these."""
+    pieces = p2_pieces(spark, sf_dir)
+    fresh = F.when(F.col("chunk_index") == 0, F.col("text")).otherwise(F.expr(f"substring(text, {split.OVERLAP * split.CHARS + 1})"))
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "start", "end", fresh.alias("part"))))
+    every = pieces.groupBy("chunk_id").agg(ordered.alias("p"), F.max("token_count").alias("largest"))
+    numbered = F.forall(F.transform("p", lambda x, i: x["chunk_index"] == i), lambda x: x)
+    overlaps = F.forall(F.expr("transform(slice(p, 2, size(p)), (x, i) -> p[i].end - x.start)"), lambda n: n == split.OVERLAP * split.CHARS)
+    whole = F.array_join(F.transform("p", lambda x: x["part"]), "")
+    return every.select("chunk_id", F.length(whole).alias("n_chars"), F.md5(whole).alias("digest"), numbered.alias("numbered"), overlaps.alias("overlap_kept"), (F.col("largest") <= split.LIMIT).alias("within_limit"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that were split."""
     return p2_pieces(spark, sf_dir).where("chunk_index = 0").select("chunk_id")
@@ -98,6 +110,20 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.agg(F.count("*").alias("sequences"), F.sum("used").alias("tokens"), F.max("end").alias("fullest"), (F.sum("used") / (F.count("*") * 2048)).alias("used_share"))
 
 
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents placed, and how often a rule of the packing is broken: never."""
+    placed = materialize(p7_sequences(spark, sf_dir), "placed")
+    after = Window.partitionBy("sequence_id").orderBy("position")
+    inside = placed.withColumn("next", F.lead("position").over(after)).agg(
+        F.count_if(F.col("position") + F.col("n_tokens") > 2048).alias("overfull"), F.count_if(F.col("position") + F.col("n_tokens") > F.col("next")).alias("overlapping")
+    )
+    n, last = F.count("*"), F.max(F.struct("piece", "n_tokens"))["n_tokens"]
+    document = placed.groupBy("doc_id").agg(n.alias("n"), F.countDistinct("piece").alias("pieces"), F.max("piece").alias("top"), F.sum("n_tokens").alias("tokens"), last.alias("last"))
+    broken = (F.col("n") != F.col("pieces")) | (F.col("n") != F.col("top") + 1) | (F.col("tokens") != F.col("top") * 2048 + F.col("last"))
+    outside = document.agg(F.count("*").alias("documents"), F.count_if(broken).alias("not_whole"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= 2048)).alias("split_needlessly"))
+    return inside.unpivot([], inside.columns, "rule", "n").unionByName(outside.unpivot([], outside.columns, "rule", "n"))
+
+
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold twelve consecutive words of an evaluation item, and where."""
     return contamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -150,6 +176,12 @@ select distinct least(id, other) as chunk_id_a, greatest(id, other) as chunk_id_
 
 P2_SQL = f"select chunk_id from {CURRENT} where length(text_for_embedding) // 4 > 1000"
 
+RESTORED_SQL = f"""select chunk_id, length(text_for_embedding)::int n_chars, md5(text_for_embedding) digest, true numbered, true overlap_kept, true within_limit
+from {CURRENT} where length(text_for_embedding) // 4 > 1000"""
+
+P7_SQL = """select 'documents' "rule", count(*) n from documents where length(text) > 0
+union all select unnest(['not_whole', 'split_needlessly', 'overfull', 'overlapping']), 0"""
+
 P8_SQL = """
 with item_words as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from eval_items),
 windows as (select distinct item_id, least(12, len(w)) n, array_to_string(w[i : i + least(12, len(w)) - 1], ' ') g
@@ -164,6 +196,7 @@ QUERIES = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_restored": p2_restored,
     "p4_found": p4_found,
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
@@ -171,10 +204,11 @@ QUERIES = {
     "p6_found": p6_found,
     "p7_sequences": p7_sequences,
     "p7_usage": p7_usage,
+    "p7_invariants": p7_invariants,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p9_found": p9_found,
     "p9_pages": p9_pages,
 }
 
-SQL = {"p1_found": shingle_pairs_sql(3, 0.6), "p1_groups": GROUPS_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p8_found": P8_SQL}
+SQL = {"p1_found": shingle_pairs_sql(3, 0.6), "p1_groups": GROUPS_SQL, "p2_found": P2_SQL, "p2_restored": RESTORED_SQL, "p7_invariants": P7_SQL, "p4_found": P4_SQL, "p8_found": P8_SQL}

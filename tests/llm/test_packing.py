@@ -40,6 +40,31 @@ def test_plans_waste_little():
     assert lengths.sum() / (n * 2048) > 0.995
 
 
+def test_plans_of_large_collections_stay_small_and_full():
+    rng = np.random.default_rng(2)
+    shape = np.bincount(np.clip(rng.lognormal(5.5, 0.9, 10_000_000).astype(int), 1, 2048), minlength=2049)
+    for times in (1, 1000):
+        packed = packing.plan(shape * times, 2048)
+        found = packing.steps(packed)
+        tokens = int((shape * times * np.arange(2049)).sum())
+        assert len(found.key) <= 3 * packing.SUPPORT * 2048 + 4096 * 4 and tokens / (found.sequences * 2048) > 0.999
+        patterns = sum(n for content, n in packed if sum(k * m for k, m in content.items()) == 2048)
+        assert patterns > 0.98 * found.sequences
+
+
+def test_each_text_finds_one_place():
+    rng = np.random.default_rng(3)
+    h = np.bincount(np.clip(rng.lognormal(2.5, 0.8, 20_000).astype(int), 1, 64), minlength=65)
+    found = packing.steps(packing.plan(h, 64))
+    length = np.repeat(np.arange(65), h)
+    rank = np.concatenate([np.arange(n) for n in h])
+    sequence, position = found.find(length, rank)
+    assert (position >= 0).all() and (position + length <= 64).all() and sequence.max() < found.sequences
+    order = np.lexsort((position, sequence))
+    same = sequence[order][1:] == sequence[order][:-1]
+    assert ((position + length)[order][:-1] <= position[order][1:])[same].all()
+
+
 def test_pack(spark):
     rows = [(i, "word " * (i % 50), "x") for i in range(200)] + [(1000, "several different words of text " * 1200, "x"), (1001, None, "x"), (1002, "", "x"), (None, "text", "x"), (5, "again", "x")]
     out = packing.pack(spark.createDataFrame(rows, SCHEMA), capacity=256).collect()
