@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.commits import CommitLog
 from folioflow.functions import layout as L
 from folioflow.functions import text as T
 from folioflow.operators import blocks, chunking, embedding, images, incremental, profile, sections, upsert
 from folioflow.operators.current import current_rows
 from folioflow.plans.registry import CURRENT, NEXT_RUN, STRIP, query
 from folioflow.sources import table
+from folioflow.storage import scratch
 
 
 def current_chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -30,9 +32,11 @@ from joined)"""
 
 @query(f"select * from {PENDING} where reason is not null")
 def p3_pending(spark: SparkSession, d: str) -> DataFrame:
-    """The chunks that the next embedding run must process, and why."""
+    """The chunks that the next embedding run must process, and why: the output of the first commit of a new log."""
     chunks, checkpoint, runs, documents = (table(spark, d, n) for n in ("chunks", "checkpoint", "ingestion_runs", "documents"))
-    return incremental.pending(chunks, checkpoint, runs, documents, NEXT_RUN)
+    log = CommitLog(spark, scratch(spark, "p3"))
+    commit = incremental.embedding_run(log, chunks, checkpoint, runs, documents, NEXT_RUN)
+    return log.spark.read.schema("chunk_id string, doc_id string, content_hash string, embedding_model_version string, reason string").parquet(commit["tables"]["output"])
 
 
 @query(f"select chunk_id from {PENDING} where reason is not null")

@@ -29,6 +29,13 @@ def filesystem(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed with what is in it when the driver exits."""
+    path = f"{shared_dir(spark)}/folioflow/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once as a compressed table in the shared folder and read it back.
 
@@ -36,9 +43,8 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     several consumers runs once. The table is removed when the driver exits.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folioflow/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
     return out

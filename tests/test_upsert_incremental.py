@@ -1,8 +1,10 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.commits import CommitLog
 from folioflow.operators import embedding, incremental, upsert
 from folioflow.operators.current import current_rows
 
@@ -94,7 +96,7 @@ def test_pending_without_a_checkpoint(spark):
 
 
 def test_commit_log_neither_skips_nor_repeats(spark, tmp_path):
-    log = incremental.CommitLog(spark, f"file://{tmp_path}/log")
+    log = CommitLog(spark, f"file://{tmp_path}/log")
     source = spark.range(10).select("id", F.col("id").alias("seq"))
     assert log.watermark() is None and log.read() is None
     log.run(source, "seq", lambda d: d, upper=4)
@@ -117,11 +119,86 @@ def test_commit_log_neither_skips_nor_repeats(spark, tmp_path):
     assert log.run(source, "seq", lambda d: d)["number"] == 2  # nothing new: no commit
     assert log.vacuum() == 1 and log.read().count() == 10
     with pytest.raises(RuntimeError):
-        log._commit({"number": 2, "upper": 99})  # the number is taken
+        log._commit({"number": 2, "upper": 99, "tables": {}})  # the number is taken
+    (tmp_path / "log/commits/hint").unlink()
+    assert log.number() == 2 and log.read(after=1).count() == 5
     with pytest.raises(ValueError):
         log.run(spark.createDataFrame([(1, None)], "id int, seq int"), "seq", lambda d: d)
 
 
+def _timed(spark):
+    """The tables of ``_tables`` with real commit sequences: times of versions and ends of runs."""
+    chunks, checkpoint, runs, documents = _tables(spark)
+    second = lambda c: F.timestamp_seconds(F.lit(1_900_000_000) + c)
+    end = F.when(F.col("run_id") == "ok", second(F.lit(10)))  # the partial run has no end
+    return chunks.withColumn("updated_at", second(F.col("updated_at"))), checkpoint, runs.withColumn("completed_at", end), documents
+
+
+def _reasons(spark, commit):
+    return {r["chunk_id"]: r["reason"] for r in spark.read.parquet(commit["tables"]["output"]).collect()}
+
+
+def test_a_run_takes_what_is_pending_and_the_next_what_came_since(spark, tmp_path):
+    log, (chunks, checkpoint, runs, documents) = CommitLog(spark, f"file://{tmp_path}/log"), _timed(spark)
+    start, later = "2031-05-01 00:00:00", "2031-05-03 00:00:00"
+    first = incremental.embedding_run(log, chunks, checkpoint, runs, documents, start)
+    assert _reasons(spark, first) == {r["chunk_id"]: r["reason"] for r in incremental.pending(*_tables(spark), start).collect()}
+    assert incremental.embedding_run(log, chunks, checkpoint, runs, documents, start) == first  # nothing new: no commit
+    new = spark.createDataFrame([("done", "d1", "zz", "v1", 99), ("version", "d1", "x", "v2", 99)], "chunk_id string, doc_id string, text_for_embedding string, embedding_model_version string, updated_at int")
+    new = new.withColumn("updated_at", F.timestamp_seconds(F.lit(1_900_000_000) + F.col("updated_at")))
+    more = chunks.unionByName(new)
+    second = incremental.embedding_run(log, more, checkpoint, runs, documents, start)
+    assert _reasons(spark, second) == {"done": "changed"} and second["lower"] == first["upper"]
+    third = incremental.embedding_run(log, more, checkpoint, runs, documents, later)
+    assert _reasons(spark, third) == {"late": "new"} and third["number"] == 3
+    replay = more.unionByName(more)
+    assert incremental.embedding_run(log, replay, checkpoint.unionByName(checkpoint), runs, documents, later) == third
+
+
+def test_a_run_that_dies_between_write_and_commit_is_repeated_whole(spark, tmp_path, monkeypatch):
+    log, tables, start = CommitLog(spark, f"file://{tmp_path}/log"), _timed(spark), "2031-05-01 00:00:00"
+
+    def dies(entry):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m, pytest.raises(OSError):
+        m.setattr(log, "_commit", dies)
+        incremental.embedding_run(log, *tables, start)
+    assert log.last() is None
+
+    def process_dies(due):
+        raise OSError("model gone")
+
+    with pytest.raises(OSError):
+        incremental.embedding_run(log, *tables, start, process_dies)
+    done = incremental.embedding_run(log, *tables, start, lambda due: due.withColumn("vector", F.lit(1)))
+    assert set(_reasons(spark, done)) == {"new", "changed", "version", "failed", "orphan", "older"} and log.vacuum() == 2
+    assert spark.read.parquet(done["tables"]["output"]).columns[-1] == "vector"
+
+
+def test_runs_read_only_above_the_watermark(spark, tmp_path, monkeypatch):
+    chunks, checkpoint, runs, documents = _timed(spark)
+    chunks.write.parquet(f"{tmp_path}/c")
+    runs.write.parquet(f"{tmp_path}/r")
+    chunks, runs = spark.read.parquet(f"{tmp_path}/c"), spark.read.parquet(f"{tmp_path}/r")
+    log, seen = CommitLog(spark, f"file://{tmp_path}/log"), []
+    incremental.embedding_run(log, chunks, checkpoint, runs, documents, "2031-05-01 00:00:00")
+    chunks.withColumn("updated_at", F.timestamp_seconds(F.lit(1_900_000_099))).limit(1).write.mode("append").parquet(f"{tmp_path}/c")
+    runs.withColumn("completed_at", F.timestamp_seconds(F.lit(1_900_000_099))).write.mode("append").parquet(f"{tmp_path}/r")
+    chunks, runs = spark.read.parquet(f"{tmp_path}/c"), spark.read.parquet(f"{tmp_path}/r")
+    of = incremental.current_rows
+    monkeypatch.setattr(incremental, "current_rows", lambda df, *a: seen.append(df._jdf.queryExecution().toString()) or of(df, *a))
+    incremental.embedding_run(log, chunks, checkpoint, runs, documents, "2031-05-02 00:00:00")
+    pushed = [re.search(r"PushedFilters: (.*?)ReadSchema", plan).group(1) for plan in seen]
+    assert "Or(IsNull(updated_at),And(" in pushed[0] and "Or(IsNull(completed_at)" in pushed[1]
+    assert re.search(r"DataFilters: .*updated_at#\d+ > ", seen[0]) and re.search(r"completed_at#\d+ > ", seen[1])
+
+
+def test_runs_over_empty_tables(spark, tmp_path):
+    log, tables = CommitLog(spark, f"file://{tmp_path}/log"), [t.limit(0) for t in _timed(spark)]
+    assert _reasons(spark, incremental.embedding_run(log, *tables, "2031-05-01 00:00:00")) == {}
+
+
 def test_embedding_is_idempotent(spark):
     chunks = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None)], "chunk_id string, text_for_embedding string")
     out = embedding.embed(chunks, "text_for_embedding", lambda: embedding.HashEmbedder(8), batch_size=1)
