@@ -11,10 +11,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from folioflow import schemas
+from folioflow.commits import CommitLog
 from folioflow.operators.embedding import HashEmbedder
 from folioflow.operators.upsert import chunk_access, document_from_chunk, first_records, upsert_chunks, upsert_documents
 from folioflow.plans.pipeline import build_chunks, embed_new
-from folioflow.sources.files import non_empty_pages, read_or_empty, read_pages, select_files, swap_table
+from folioflow.sources.files import non_empty_pages, read_pages, select_files, swap_table, write_metrics
 from folioflow.storage import filesystem, materialize
 
 CHECKPOINT = "chunk_id string, content_hash string, model_version string, embedded_at double, vector_path string"
@@ -36,20 +37,26 @@ def build(spark: SparkSession, folder: str, out: str, pattern: str = "*.txt", on
     if not embed:
         swap_table(chunks, f"{out}/chunk_list")
         return report
-    checkpoint = read_or_empty(spark, f"{out}/checkpoint", CHECKPOINT)
-    fresh = embed_new(chunks, checkpoint, make)
+    log = CommitLog(spark, out)
+    stored = lambda name, schema: table if (table := log.table(name)) is not None else spark.createDataFrame([], schema)
+    checkpoint, number = stored("checkpoint", CHECKPOINT), log.number() + 1
+    tried = embed_new(chunks, checkpoint, make)
+    fresh = tried.where("embedding_error is null").drop("embedding_error")
     now = F.current_timestamp()
     incoming = fresh.withColumns(
         {"access_classification": F.lit("internal"), "access_groups": chunk_access(F.lit(None).cast("array<string>")), "run_id": F.lit(None).cast("string"), "referenced_tables": F.array().cast("array<string>")}
     )
-    merged = upsert_chunks(read_or_empty(spark, f"{out}/chunks", schemas.CHUNKS_TABLE), incoming, now)
+    merged = upsert_chunks(stored("chunks", schemas.CHUNKS_TABLE), incoming, now)
     merged = materialize(merged, "merged")
     first = first_records(fresh.withColumn("_o", F.struct("chunk_id")), "doc_id", "_o")
-    documents = upsert_documents(read_or_empty(spark, f"{out}/documents", schemas.DOCUMENTS_TABLE), document_from_chunk(first), now).drop("action")
-    swap_table(documents, f"{out}/documents")
-    swap_table(merged.drop("action"), f"{out}/chunks")
+    documents = upsert_documents(stored("documents", schemas.DOCUMENTS_TABLE), document_from_chunk(first), now).drop("action")
     done = fresh.select("chunk_id", "content_hash", F.col("embedding_model_version").alias("model_version"), "embedded_at", F.lit(f"{out}/chunks").alias("vector_path"))
-    swap_table(checkpoint.join(done.select("chunk_id"), "chunk_id", "left_anti").unionByName(done), f"{out}/checkpoint")  # last: a crash before repeats, never skips
+    covered = checkpoint.join(done.select("chunk_id"), "chunk_id", "left_anti").unionByName(done)
+    # Together or not at all: what the checkpoint covers is in the tables. A second build that began at the same commit fails here.
+    log.publish({"documents": documents, "chunks": merged.drop("action"), "checkpoint": covered}, number=number)
+    log.vacuum(keep=2)
+    bad = tried.select(F.col("embedding_error").alias("error"))
+    report |= {k: v for k, v in write_metrics(spark, f"{out}/metrics.json", {"chunks": report["chunks"]}, bad).items() if k == "failed"}
     return report | {r["action"]: r["count"] for r in merged.groupBy("action").count().collect()} | {"embedded": fresh.count()}
 
 

@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from folioflow.commits import CommitLog
 from folioflow.config import load_settings
 from folioflow.operators.embedding import HashEmbedder
 from folioflow.plans.pipeline import Engine
@@ -31,7 +32,7 @@ def format_result(row, number: int) -> str:
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("query")
-    p.add_argument("--data", required=True, help="folder with chunks.parquet and documents.parquet")
+    p.add_argument("--data", required=True, help="folder of a build, or one with chunks.parquet and documents.parquet")
     p.add_argument("--mode", choices=("vector", "keyword", "hybrid"))
     p.add_argument("--k", type=int)
     p.add_argument("--min-similarity", type=float)
@@ -43,7 +44,9 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("folioflow").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     settings = load_settings()
-    chunks, documents = (spark.read.parquet(f"{a.data}/{t}.parquet") for t in ("chunks", "documents"))
+    built = CommitLog(spark, a.data)
+    names = ("chunks", "documents")
+    chunks, documents = (built.table(t) for t in names) if built.last() else (spark.read.parquet(f"{a.data}/{t}.parquet") for t in names)
     key = "doc_key" if "doc_key" in documents.columns else "doc_id"
     engine = Engine(spark, settings, HashEmbedder(settings.embedding.dimension), chunks, documents, doc_key=key)
     given = {"mode": a.mode, "top_k": a.k, "min_similarity": a.min_similarity, "as_of": a.as_of}

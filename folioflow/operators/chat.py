@@ -55,15 +55,13 @@ class Chat:
     def __init__(self, spark, search: Callable[[str, int], DataFrame], model: Callable[[str], str], log: ChatLog | None = None, k: int = 3):
         self.spark, self.search, self.model, self.log, self.k = spark, search, model, log, k
 
-    def _value(self, query: str, column: Column):
-        return self.spark.range(1).select(column).first()[0]
-
     def ask(self, query: str) -> dict:
         out = dict.fromkeys(("answer", "sources", "num_chunks", "avg_chunk_score", "retrieval_ms", "generation_ms", "topic_warning", "blocked"))
         question = F.lit(query)
-        if problem := self._value(query, guard.input_problem(question)):
+        problem, warning = self.spark.range(1).select(guard.input_problem(question), guard.topic_warning(question)).first()
+        if problem:
             return out | {"answer": problem, "sources": [], "num_chunks": 0, "blocked": True}
-        warning = self._value(query, guard.topic_warning(question)) or None
+        warning = warning or None
         began = time.monotonic()
         hits = self.search(query, self.k).limit(self.k).collect()
         retrieval_ms = (time.monotonic() - began) * 1000

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from folioflow.functions import text as T
 
@@ -28,18 +29,24 @@ def keeps_chunk(t: Column) -> Column:
 def paragraphs(t: Column, separator: str = PARAGRAPH) -> Column:
     """Paragraphs of a text, small ones merged with what follows while their tokens stay below 50 together."""
     raw = F.filter(F.transform(F.split(F.coalesce(t, F.lit("")), separator, -1), T.strip), lambda x: x != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).cast("long").alias("tokens"))
-
-    def step(s, p):
-        joined = s["tokens"] + T.count_tokens(p)
-        fits = joined < SMALL_PARAGRAPH
-        return F.struct(
-            F.when(fits | s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))).alias("done"),
-            F.when(fits & s["open"].isNotNull(), F.concat(s["open"], F.lit("\n\n"), p)).otherwise(p).alias("open"),
-            F.when(fits, joined).otherwise(T.count_tokens(p)).alias("tokens"),
-        )
-
-    return F.aggregate(raw, start, step, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    return F.transform(_merged(F.transform(raw, T.count_tokens)), lambda r: F.array_join(F.slice(raw, r["at"], r["n"]), "\n\n"))
+
+
+@F.arrow_udf(ArrayType(StructType([StructField("at", IntegerType()), StructField("n", IntegerType())])))
+def _merged(sizes: pa.Array) -> pa.Array:
+    """First and number of the paragraphs that are merged into one, by their tokens."""
+    out = []
+    for one in sizes.to_pylist():
+        runs, total = [], 0
+        for i, n in enumerate(one, 1):
+            total += n
+            if runs and total < SMALL_PARAGRAPH:
+                runs[-1]["n"] += 1
+            else:
+                runs.append({"at": i, "n": 1})
+                total = n
+        out.append(runs)
+    return pa.array(out, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())])))
 
 
 def windows(sizes: list[int], base: int, room: int, overlap: int) -> list[tuple[int, int]]:

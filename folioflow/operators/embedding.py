@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.cache import with_retries
 from folioflow.functions.text import content_hash, count_tokens
 
 
@@ -41,13 +42,21 @@ class HashEmbedder:
         return out
 
 
-def embed(texts: DataFrame, text: str, make: Callable[[], Embedder], batch_size: int = 50) -> DataFrame:
+def embed(texts: DataFrame, text: str, make: Callable[[], Embedder], batch_size: int = 50, *, tries: int = 3, wait: float = 0.5, errors: bool = False) -> DataFrame:
     """Adds ``embedding``: one model a task, made where it runs; batches of ``batch_size``. NULL texts keep a NULL vector.
 
-    A vector of another length than the model's dimension, or another number of vectors than texts, is an error.
+    A vector of another length than the model's dimension, or another number of vectors than texts, is an error. A batch that fails is
+    tried ``tries`` times. If it still fails, so does the job; with ``errors`` the batch's rows get no vector and the message in ``embedding_error``.
     """
     names = texts.columns
-    shape = texts.withColumn("embedding", F.lit(None).cast("array<float>")).schema
+    wide = texts.withColumn("embedding", F.lit(None).cast("array<float>"))
+    shape = (wide.withColumn("embedding_error", F.lit(None).cast("string")) if errors else wide).schema
+
+    def vectors_of(model: Embedder, part: list[str]) -> list[list[float]]:
+        got = model.embed_batch(part)
+        if len(got) != len(part) or any(len(v) != model.dimension for v in got):
+            raise ValueError("the model returned vectors of another number or length")
+        return got
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
@@ -55,14 +64,19 @@ def embed(texts: DataFrame, text: str, make: Callable[[], Embedder], batch_size:
             values = batch.column(names.index(text)).to_pylist()
             at = [i for i, t in enumerate(values) if t is not None]
             vectors: list = [None] * len(values)
+            failed: list = [None] * len(values)
             for k in range(0, len(at), batch_size):
                 part = at[k : k + batch_size]
-                got = model.embed_batch([values[i] for i in part])
-                if len(got) != len(part) or any(len(v) != model.dimension for v in got):
-                    raise ValueError("the model returned vectors of another number or length")
-                for i, v in zip(part, got):
-                    vectors[i] = v
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], [*names, "embedding"])
+                try:
+                    for i, v in zip(part, with_retries(lambda: vectors_of(model, [values[i] for i in part]), tries, wait)):
+                        vectors[i] = v
+                except Exception as error:
+                    if not errors:
+                        raise
+                    for i in part:
+                        failed[i] = f"{type(error).__name__}: {error}"[:200]
+            more = [pa.array(failed, pa.string())] if errors else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32())), *more], shape.names)
 
     return texts.mapInArrow(run, shape)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from contextlib import contextmanager
@@ -10,6 +11,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioflow.storage import filesystem, materialize
 
@@ -24,6 +26,18 @@ RUN_LOG = "run_number long, timestamp string, chunks_processed long, chunks_skip
 KEPT, LOW_CONFIDENCE = 300, 0.5
 
 
+def append_lines(spark: SparkSession, path: str, schema: str, rows: list[tuple]) -> None:
+    """Rows as JSON lines in a new file of a table's folder, written in one piece and without a Spark job."""
+    names = StructType.fromDDL(schema).names
+    text = "".join(json.dumps(dict(zip(names, row)), ensure_ascii=False) + "\n" for row in rows)
+    name = f"part-{time.time_ns()}-{uuid.uuid4().hex}.json"
+    fs, hidden = filesystem(spark, f"{path.rstrip('/')}/.{name}")
+    stream = fs.create(hidden, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    fs.rename(hidden, filesystem(spark, f"{path.rstrip('/')}/{name}")[1])
+
+
 class ChatLog:
     """Appends answered questions to a JSON-lines table."""
 
@@ -32,7 +46,9 @@ class ChatLog:
 
     def append(self, query: str, answer: str, sources: list[str], retrieval_ms: float, generation_ms: float, score: float) -> None:
         row = (datetime.now(UTC).isoformat(), query, answer, sources, retrieval_ms, generation_ms, score)
-        log_rows(self.spark.createDataFrame([row], CHAT_LOG)).coalesce(1).write.mode("append").json(self.path)
+        ts, query, answer, sources, retrieval_ms, generation_ms, score = row
+        kept = (ts, query, answer[:KEPT] if answer is not None else None, sources, *(round(v, n) if v is not None else None for v, n in ((retrieval_ms, 1), (generation_ms, 1), (score, 3))))
+        append_lines(self.spark, self.path, CHAT_LOG, [kept])
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(CHAT_LOG).option("mode", "FAILFAST").json(self.path)
@@ -64,10 +80,25 @@ class QueryContext:
 
 
 class QueryLog:
-    """Appends queries, failed ones too, to a JSON-lines table; named metrics go to a table of their own beside it."""
+    """Appends queries, failed ones too, to a JSON-lines table; named metrics go to a table of their own beside it.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    ``every`` rows make a file; :meth:`flush`, or the end of a ``with`` block, writes what is held back.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, every: int = 1):
+        self.spark, self.path, self.every = spark, path.rstrip("/"), every
+        self._rows: list[tuple] = []
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.flush()
+
+    def flush(self) -> None:
+        rows, self._rows = self._rows, []
+        if rows:
+            append_lines(self.spark, self.path, QUERY_LOG, rows)
 
     @contextmanager
     def query(self, text: str, user_id: str | None = None):
@@ -79,11 +110,12 @@ class QueryLog:
             raise
         finally:
             context.total_duration_seconds = time.monotonic() - began
-            self.spark.createDataFrame([context.row()], QUERY_LOG).coalesce(1).write.mode("append").json(self.path)
+            self._rows.append(context.row())
+            if len(self._rows) >= self.every:
+                self.flush()
 
     def metric(self, name: str, value: float) -> None:
-        row = [(name, float(value), time.time())]
-        self.spark.createDataFrame(row, "name string, value double, timestamp double").coalesce(1).write.mode("append").json(self.path + "_metrics")
+        append_lines(self.spark, self.path + "_metrics", "name string, value double, timestamp double", [(name, float(value), time.time())])
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(QUERY_LOG).option("mode", "FAILFAST").json(self.path)
@@ -154,13 +186,23 @@ def number_runs(runs: DataFrame, order: str) -> DataFrame:
 
 
 def append_run(spark: SparkSession, path: str, metrics: dict, at: str) -> dict:
-    """Adds a run to a run log; its number is that of earlier runs plus one."""
+    """Adds a run to a run log. Its number is the next free one: a file of that number is made, which only one of several runs can."""
     fs, where = filesystem(spark, path)
-    before = spark.read.schema(RUN_LOG).json(path).count() if fs.exists(where) else 0
-    row = {"run_number": before + 1, "timestamp": at} | {k: metrics[k] for k in ("chunks_processed", "chunks_skipped", "chunks_failed")}
+    number = 1 + max([int(s.getPath().getName()[:-5]) for s in (fs.listStatus(where) if fs.exists(where) else []) if s.getPath().getName()[:-5].isdigit()], default=0)
+    row = {"run_number": number, "timestamp": at} | {k: metrics[k] for k in ("chunks_processed", "chunks_skipped", "chunks_failed")}
     row |= {"total_cost_usd": round(metrics["total_cost_usd"], 6), "total_duration_seconds": round(metrics["total_duration_seconds"], 2)}
-    spark.createDataFrame([tuple(row.values())], RUN_LOG).coalesce(1).write.mode("append").json(path)
-    return row
+    while True:
+        _, mine = filesystem(spark, f"{path.rstrip('/')}/{row['run_number']}.json")
+        try:
+            stream = fs.create(mine, False)
+        except Exception:
+            if not fs.exists(mine):
+                raise
+            row["run_number"] += 1
+            continue
+        stream.write(bytearray((json.dumps(row) + "\n").encode()))
+        stream.close()
+        return row
 
 
 def rates(metrics: DataFrame) -> DataFrame:

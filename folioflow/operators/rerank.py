@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import blank_terms
+from folioflow.storage import materialize
 
 log = logging.getLogger(__name__)
 
@@ -56,17 +58,44 @@ class Fallback:
     def score(self, rows: DataFrame, query: str) -> DataFrame:
         if not self.failed:
             try:
-                scored = self.first.score(rows, query).persist()
-                scored.count()
-                return scored
+                return materialize(self.first.score(rows, query), "scored")  # few rows; a failure shows here
             except Exception as error:
                 log.warning("reranking failed, falling back: %s", error)
                 self.failed = True
         return self.second.score(rows, query)
 
 
-def overlap_pairs(queries: DataFrame, texts: DataFrame, query: str, text: str) -> DataFrame:
-    """Overlap of every word-sharing pair of a bounded query table and a text table, by an equi-join on words."""
-    q = queries.select(F.col("query_id"), F.explode(blank_terms(F.col(query))).alias("w"), F.size(blank_terms(F.col(query))).alias("n"))
-    t = texts.select(F.col("text_id"), F.explode(blank_terms(F.col(text))).alias("w"))
-    return q.join(t, "w").groupBy("query_id", "text_id", "n").agg((F.count("*") / F.first("n")).alias("score")).drop("n")
+def overlap_pairs(queries: DataFrame, texts: DataFrame, query: str, text: str, most: int = 5_000_000) -> DataFrame:
+    """``query_id``, ``text_id``, ``score``: the share of the query's words a text has, for every pair that shares one.
+
+    The queries' words, at most ``most`` of them (else this raises), go to the tasks as one inverted list; every text counts its
+    hits in it, and nothing is shuffled: a word that all texts share is no hot key. A row of ``queries`` or ``texts`` each is taken for itself.
+    """
+    held = queries.select("query_id", blank_terms(F.col(query)).alias("w")).where(F.size("w") > 0)
+    size = held.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0]
+    if size > most:
+        raise ValueError(f"more than {most} words of queries; compare them in several calls")
+    rows = sorted(map(tuple, held.collect()))
+    lists: dict[str, list[int]] = {}
+    for i, (_, found) in enumerate(rows):
+        for w in found:
+            lists.setdefault(w, []).append(i)
+    shared = queries.sparkSession.sparkContext.broadcast(({w: np.array(at, np.int32) for w, at in lists.items()}, np.array([len(w) for _, w in rows], np.float64), pa.array([i for i, _ in rows])))
+    q_type, t_type = queries.schema["query_id"].dataType.simpleString(), texts.schema["text_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, sizes, names = shared.value
+        for big in batches:
+            for start in range(0, big.num_rows, 1000):
+                batch = big.slice(start, 1000)
+                at, found, score = [], [], []
+                for k, words in enumerate(batch.column(1).to_pylist()):
+                    if hits := [index[w] for w in words if w in index]:
+                        q, n = np.unique(np.concatenate(hits), return_counts=True)
+                        at.append(np.full(len(q), k))
+                        found.append(q)
+                        score.append(n / sizes[q])
+                if at:
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(found))), batch.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(score))], ["query_id", "text_id", "score"])
+
+    return texts.select("text_id", blank_terms(F.col(text)).alias("w")).mapInArrow(run, f"query_id {q_type}, text_id {t_type}, score double")

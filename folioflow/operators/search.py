@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, replace
 
@@ -11,8 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import STOP_WORDS, preview, terms
+from folioflow.functions.text import STOP_WORDS, preview
 from folioflow.functions.vectors import cosine_to, matrix
+from folioflow.operators.current import current_rows
 
 RESULT = ("chunk_id", "doc_id", "text", "section_heading", "section_path", "page_range", "embedding_model")
 
@@ -84,10 +86,28 @@ def text_column(request: Request) -> Column:
     return F.col("text_for_embedding") if request.full_text else preview(F.col("text_for_embedding"), 500)
 
 
+def latest(chunks: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """One row per chunk, that of its latest version (``updated_at``, if the table has one). ``columns``, scores too, are computed
+    before the shuffle: neither vectors nor texts travel."""
+    versioned = chunks if "updated_at" in chunks.columns else chunks.withColumn("updated_at", F.lit(0))
+    return current_rows(versioned, "chunk_id", "updated_at", columns)
+
+
+def scored(chunks: DataFrame, documents: DataFrame, request: Request, scores: dict[str, Column], doc_key: str = "doc_key") -> DataFrame:
+    """Latest chunks that :func:`eligible` lets through, with ``scores``."""
+    columns = {c: F.col(c) for c in ("doc_id", "access_classification", "access_groups")}
+    return eligible(latest(chunks, columns | scores), documents, request, doc_key)
+
+
+def similarity(request: Request) -> dict[str, Column]:
+    """``vector_similarity``: NULL for unusable vectors, which never match."""
+    return {"vector_similarity": cosine_to(request.vector)(F.col("embedding"))}
+
+
 def nearest(frame: DataFrame, request: Request, limit: int) -> DataFrame:
-    """``chunk_id`` and ``vector_similarity`` of the nearest chunks at or above the threshold; ties by id. Unusable vectors never match."""
-    scored = frame.select("chunk_id", cosine_to(request.vector)(F.col("embedding")).alias("vector_similarity"))
-    return scored.where(F.col("vector_similarity") >= request.min_similarity).orderBy(F.desc("vector_similarity"), "chunk_id").limit(limit)
+    """``chunk_id`` and ``vector_similarity`` of the nearest chunks at or above the threshold; ties by id."""
+    near = frame.select("chunk_id", "vector_similarity").where(F.col("vector_similarity") >= request.min_similarity)
+    return near.orderBy(F.desc("vector_similarity"), "chunk_id").limit(limit)
 
 
 def query_terms(query: str) -> list[str]:
@@ -95,48 +115,55 @@ def query_terms(query: str) -> list[str]:
     return sorted({w for w in re.findall(r"[^\W_]+", query.lower()) if w not in STOP_WORDS})
 
 
-def matching(frame: DataFrame, wanted: list[str], text: str = "text_for_embedding") -> DataFrame:
-    """Chunks whose text has all the terms, with ``keyword_score``: their occurrences over one plus the logarithm of the text's terms.
+def cover_density(words: Column, wanted: list[str]) -> Column:
+    """Rank of a text by the density of its covers (Clarke et al.): over the shortest stretches of ``words`` that hold all of
+    ``wanted``, the sum of 0.1 / (1 + words in the stretch that aren't wanted); NULL without any.
 
-    A plain substring test, which the scan can evaluate cheaply, goes before the split into terms. No terms match nothing.
+    One fold over the places of wanted words keeps the last place of each; where the earliest of these moves on, a cover ends.
     """
-    if not wanted:
-        return frame.select("chunk_id", F.lit(0.0).alias("keyword_score")).where(F.lit(False))
-    low = F.lower(F.col(text))
-    maybe = frame
-    for w in wanted:
-        maybe = maybe.where(F.contains(low, F.lit(w)))
-    split = maybe.select("chunk_id", terms(F.col(text)).alias("_terms"))
     array = F.array(*map(F.lit, wanted))
-    hits = split.where(F.size(F.array_intersect("_terms", array)) == len(wanted))
-    count = F.size(F.filter("_terms", lambda x: x.isin(*wanted)))
-    return hits.select("chunk_id", F.round(count / (1 + F.log(F.size("_terms").cast("double"))), 6).alias("keyword_score"))
-
-
-def cover_density(positions: list[list[int]]) -> float:
-    """Sum over the shortest covers of the terms of one over their length beyond the number of terms (Clarke et al.), for checks of rankings."""
-    spots = sorted((p, t) for t, ps in enumerate(positions) for p in ps)
-    need, have, lo, score, last = len(positions), {}, 0, 0.0, -1
-    for p, t in spots:
-        have[t] = have.get(t, 0) + 1
-        while len(have) == need:
-            first, u = spots[lo]
-            if have[u] > 1:
-                have[u] -= 1
-                lo += 1
-                continue
-            if first > last:
-                score += 1 / (1 + (p - first + 1) - need)
-                last = first
-            del have[u]
-            lo += 1
-    return score
+    spots = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), F.array_position(array, w).cast("int").alias("term"))), lambda s: s["term"] > 0)
+    spots = F.transform(spots, lambda s, i: F.struct(s["at"].alias("at"), i.alias("nth"), s["term"].alias("term")))
+    place = "struct<at:int,nth:int>"
+    nowhere = F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("nth")).cast(place)
+    start = F.struct(F.array(*[nowhere] * len(wanted)).alias("last"), F.lit(-1).alias("left"), F.lit(0.0).alias("sum"))
+
+    def step(state: Column, spot: Column) -> Column:
+        here = F.struct(spot["at"].alias("at"), spot["nth"].alias("nth")).cast(place)
+        last = F.transform(state["last"], lambda p, t: F.when(t + 1 == spot["term"], here).otherwise(p))
+        first = F.array_min(last)
+        other = (spot["at"] - first["at"]) - (spot["nth"] - first["nth"])
+        ends = first["at"] > state["left"]
+        return F.struct(last.alias("last"), F.when(ends, first["at"]).otherwise(state["left"]).alias("left"), (state["sum"] + F.when(ends, 0.1 / (1.0 + other)).otherwise(0.0)).alias("sum"))
+
+    return F.aggregate(spots, start, step, lambda s: F.nullif(s["sum"], F.lit(0.0)))
+
+
+def keyword_score(text: Column, wanted: list[str]) -> dict[str, Column]:
+    """``keyword_score``: the cover density of a text that has all the terms, else NULL. No terms match nothing.
+
+    A plain substring test goes before the split into words, which only texts that pass it undergo.
+    """
+    if not wanted:
+        return {"keyword_score": F.lit(None).cast("double")}
+    low = F.lower(text)
+    maybe = functools.reduce(Column.__and__, [F.contains(low, F.lit(w)) for w in wanted])
+    words = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return {"keyword_score": F.round(F.when(maybe, cover_density(words, wanted)), 6)}
+
+
+def matching(frame: DataFrame) -> DataFrame:
+    """``chunk_id`` and ``keyword_score`` of the chunks that have one."""
+    return frame.select("chunk_id", "keyword_score").where(F.col("keyword_score").isNotNull())
 
 
 def with_results(hits: DataFrame, chunks: DataFrame, request: Request) -> DataFrame:
-    """Late materialization: texts and headings join the few hits at the end."""
-    wide = chunks.withColumn("text", text_column(request)).select(*RESULT)
-    return F.broadcast(hits).join(wide, "chunk_id")  # at most the fetch limit, which check() bounds
+    """Late materialization: the few hits meet the table in its scan, and only what is left of it is ranked by version and shuffled."""
+    versioned = chunks if "updated_at" in chunks.columns else chunks.withColumn("updated_at", F.lit(0))
+    wide = versioned.withColumn("text", text_column(request)).select(*RESULT, "updated_at")
+    found = F.broadcast(hits).join(wide, "chunk_id")  # at most the fetch limit, which check() bounds
+    version = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.col("updated_at").desc_nulls_last()))
+    return found.withColumn("_version", version).where("_version = 1").drop("_version", "updated_at")
 
 
 def hybrid_scores(vector_hits: DataFrame, keyword_hits: DataFrame, request: Request) -> DataFrame:
@@ -152,28 +179,29 @@ def hybrid_scores(vector_hits: DataFrame, keyword_hits: DataFrame, request: Requ
 def candidates(chunks: DataFrame, documents: DataFrame, request: Request, doc_key: str = "doc_key") -> DataFrame:
     """The best chunks by the request's mode with their three scores (NULL where the mode has none), before reranking."""
     check(request)
-    limit, frame = fetch_limit(request), eligible(chunks, documents, request, doc_key)
-    none = F.lit(None).cast("double")
+    limit, none = fetch_limit(request), F.lit(None).cast("double")
+    frame = lambda scores: scored(chunks, documents, request, scores, doc_key)
+    by_keyword = lambda n: matching(frame(keyword_score(F.col("text_for_embedding"), query_terms(request.query)))).orderBy(F.desc("keyword_score"), "chunk_id").limit(n)
     if request.mode == "vector":
-        return nearest(frame, request, limit).withColumn("keyword_score", none).withColumn("combined_score", none)
+        return nearest(frame(similarity(request)), request, limit).withColumn("keyword_score", none).withColumn("combined_score", none)
     if request.mode == "keyword":  # the threshold doesn't apply to raw keyword scores
-        hits = matching(frame, query_terms(request.query)).orderBy(F.desc("keyword_score"), "chunk_id").limit(limit)
-        return hits.withColumn("vector_similarity", none).withColumn("combined_score", none)
+        return by_keyword(limit).withColumn("vector_similarity", none).withColumn("combined_score", none)
     pool = max(request.candidates, limit)
-    # Candidates aren't thresholded one by one: the combined score is.
-    vector_hits = nearest(frame, replace(request, min_similarity=-1.0), pool)
-    keyword_hits = matching(frame, query_terms(request.query)).orderBy(F.desc("keyword_score"), "chunk_id").limit(pool)
-    return hybrid_scores(vector_hits, keyword_hits, request).orderBy(F.desc("combined_score"), "chunk_id").limit(limit)
+    # Candidates aren't thresholded one by one: the combined score is. Either list reads what it scores by, and nothing else.
+    vector_hits = nearest(frame(similarity(request)), replace(request, min_similarity=-1.0), pool)
+    return hybrid_scores(vector_hits, by_keyword(pool), request).orderBy(F.desc("combined_score"), "chunk_id").limit(limit)
 
 
 def effective_score() -> Column:
-    """Similarity, or the combined score where that is NULL or 0."""
-    v = F.col("vector_similarity")
-    return F.when(v.isNull() | (v == 0), F.col("combined_score")).otherwise(v)
+    """What a result is reported by: its similarity, or the combined score where that is NULL or 0."""
+    return F.coalesce(F.nullif("vector_similarity", F.lit(0.0)), "combined_score")
 
 
 def retrieve(chunks: DataFrame, documents: DataFrame, request: Request, reranker=None, doc_key: str = "doc_key") -> DataFrame:
-    """Ranked results of a request: search, rerank if wanted and there is more than one hit, keep ``top_k`` and number them."""
+    """Ranked results of a request: search, rerank if wanted and there is more than one hit, keep ``top_k`` and number them.
+
+    ``chunks`` may hold several versions of a chunk; the latest counts, whether or not it matches.
+    """
     hits = candidates(chunks, documents, request, doc_key)
     key = {"vector": "vector_similarity", "keyword": "keyword_score", "hybrid": "combined_score"}[request.mode]
     rows = with_results(hits, chunks, request).withColumn("retrieval_rank", F.row_number().over(Window.orderBy(F.desc(key), "chunk_id")))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.layout import figure_placeholder
 from folioflow.functions.text import count_tokens, strip
@@ -24,19 +28,31 @@ def page_ends(toc: DataFrame, doc: str = "doc_id", order: str = "ord", start: st
 def walk_outline(outline: DataFrame) -> DataFrame:
     """Parent paths of a flattened outline (``doc_id``, ``ord``, ``title``, ``level`` from 1): the last title of each higher level.
 
-    Levels are few, so one running window per level serves instead of recursion. Entries without a page are skipped first.
+    One ordered pass with a stack per document, however deep its outline. Entries without a page are skipped first. An entry of NULL
+    level stands outside the hierarchy: it has no parents and is nobody's.
     """
     flat = outline.where(F.col("page_start").isNotNull())
-    upto = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    deepest = 8
-    for k in range(1, deepest):
-        # The last entry of level k counts as a parent only if nothing above it came after.
-        at = F.max(F.when(F.col("level") == k, F.col("ord"))).over(upto)
-        above = F.max(F.when(F.col("level") < k, F.col("ord"))).over(upto)
-        title = F.last(F.when(F.col("level") == k, F.col("title")), ignorenulls=True).over(upto)
-        flat = flat.withColumn(f"_p{k}", F.when((F.col("level") > k) & at.isNotNull() & (above.isNull() | (at > above)), title))
-    path = F.filter(F.array(*[f"_p{k}" for k in range(1, deepest)]), lambda x: x.isNotNull())
-    return flat.withColumn("parent_path", path).drop(*[f"_p{k}" for k in range(1, deepest)])
+    names = flat.columns
+    shape = flat.withColumn("parent_path", F.lit(None).cast("array<string>")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, stack = None, []
+        for batch in batches:
+            paths = []
+            for doc, title, level in zip(*(batch.column(names.index(c)).to_pylist() for c in ("doc_id", "title", "level"))):
+                if doc != document:
+                    document, stack = doc, []
+                if level is None:
+                    paths.append([])
+                    continue
+                while stack and stack[-1][0] >= level:
+                    stack.pop()
+                paths.append([t for _, t in stack])
+                stack.append((level, title))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.list_(pa.string()))], [*names, "parent_path"])
+
+    return flat.repartition("doc_id").sortWithinPartitions("doc_id", "ord").mapInArrow(run, shape)
+
 
 
 def pack_pages(pages: DataFrame, doc: str, page: str, text: str, target: int = PACK_TOKENS) -> DataFrame:
@@ -52,19 +68,23 @@ def pack_pages(pages: DataFrame, doc: str, page: str, text: str, target: int = P
         F.max("page").alias("last_page"),
         F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("page", "tokens")))).alias("sizes"),
     )
-    start = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(0).alias("id"), F.lit(0).cast("long").alias("sum"))
-
-    def step(state, one):
-        total = state["sum"] + one["tokens"]
-        closed = total >= target
-        return F.struct(
-            F.concat(state["ids"], F.array(state["id"])).alias("ids"),
-            F.when(closed, state["id"] + 1).otherwise(state["id"]).alias("id"),
-            F.when(closed, F.lit(0).cast("long")).otherwise(total).alias("sum"),
-        )
-
-    folded = whole.withColumn("fold", F.aggregate("sizes", start, step))
-    placed = folded.select("doc_id", "last_page", F.col("fold.id").alias("open"), F.explode(F.arrays_zip(F.col("sizes.page").alias("page"), F.col("fold.ids").alias("section"))).alias("z"))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def section_numbers(sizes: pa.Array) -> pa.Array:
+        """The section of each page, and last the one that is still open."""
+        out = []
+        for one in sizes.to_pylist():
+            ids, total = [0], 0
+            for n in one:
+                total += n
+                ids.append(ids[-1] + (total >= target))
+                total *= total < target
+            out.append(ids)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    folded = whole.withColumn("ids", section_numbers(F.col("sizes.tokens"))).withColumn("n", F.size("sizes"))
+    zipped = F.arrays_zip(F.col("sizes.page").alias("page"), F.slice("ids", 1, F.col("n")).alias("section"))
+    placed = folded.where("n > 0").select("doc_id", "last_page", F.element_at("ids", -1).alias("open"), F.explode(zipped).alias("z"))
     placed = placed.select("doc_id", "last_page", "open", F.col("z.page").alias("page"), F.col("z.section").alias("section"))
     full = placed.join(sized.where(F.col("text") != ""), ["doc_id", "page"])
     out = full.groupBy("doc_id", "section", "open", "last_page").agg(

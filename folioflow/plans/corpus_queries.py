@@ -10,6 +10,7 @@ from folioflow.functions import layout as L
 from folioflow.functions import text as T
 from folioflow.operators import blocks, chunking, embedding, images, incremental, profile, sections, upsert
 from folioflow.operators.current import current_rows
+from folioflow.plans import pipeline
 from folioflow.plans.registry import CURRENT, NEXT_RUN, STRIP, query
 from folioflow.sources import table
 from folioflow.storage import scratch
@@ -423,7 +424,10 @@ def run_table(spark: SparkSession, d: str) -> DataFrame:
     return upsert.finish_run(runs, "run_new", at, outcome).select("run_id", "status", "chunks_loaded", "chunks_failed")
 
 
-@query()
+@query(f"""
+with o as (select doc_id, chunk_id ord, section_heading title, section_level "level", page_range.lo page_start from {CURRENT} where section_level is not null and page_range.lo is not null),
+u as (select *, max(case when "level" = 1 then ord end) over w spot, max_by(title, case when "level" = 1 then ord end) over w above from o window w as (partition by doc_id order by ord rows between unbounded preceding and 1 preceding))
+select doc_id, ord, title, "level", page_start, case when "level" = 2 and spot is not null then [above] else []::varchar[] end parent_path from u""")
 def document_outline(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as entries of their documents' outlines, with the titles above each."""
     chunks = current_chunks(spark, d, "doc_id", "section_heading", "section_level", "page_range").where("section_level is not null")
@@ -431,6 +435,30 @@ def document_outline(spark: SparkSession, d: str) -> DataFrame:
     return sections.walk_outline(outline)
 
 
+PAGES = """(select source doc_id, doc_id::int page, coalesce(text, '') t from documents where source is not null)"""
+
+
+@query(f"""
+with s as (select *, coalesce(lead(page_start) over (partition by doc_id order by ord) - 1, last)::int page_end from
+  (select doc_id, page::bigint ord, 'Page ' || page heading, page page_start, max(page) over (partition by doc_id) last from {PAGES} where page % 3 = 0))
+select s.doc_id, ord, heading, page_start, page_end, md5(string_agg(t, chr(10) || chr(10) order by page)) digest from s join {PAGES} p on p.doc_id = s.doc_id and page between page_start and page_end
+where page_end >= page_start group by all""".replace("max(page) over (partition by doc_id) last from " + PAGES + " where page % 3 = 0", "last from (select *, max(page) over (partition by doc_id) last from " + PAGES + ") where page % 3 = 0"))
+def outline_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as documents of which every third page has a heading: sections with the texts of their pages."""
+    pages = table(spark, d, "documents").where("source is not null").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("page"), "text")
+    outline = pages.where("page % 3 = 0").select("doc_id", F.col("page").cast("long").alias("ord"), F.concat(F.lit("Page "), "page").alias("title"), F.lit(1).alias("level"), F.col("page").alias("page_start"))
+    found = pipeline.sections_from_outline(outline, pages)
+    return found.select("doc_id", "ord", "heading", F.col("page_range.lo").alias("page_start"), F.col("page_range.hi").alias("page_end"), F.md5("text").alias("digest"))
+
+
+@query("""
+with t as (select chunk_id, updated_at, case when page_range.lo is not null and page_range.hi is not null then '[' || page_range.lo || ',' || (page_range.hi + 1) || ')' end h from chunks)
+select chunk_id, updated_at, regexp_extract(h, '^.(-?[0-9]+),', 1)::int lo, regexp_extract(h, ',(-?[0-9]+).$', 1)::int - 1 hi from t where h is not null""")
+def parsed_ranges(spark: SparkSession, d: str) -> DataFrame:
+    parsed = page_range_text(spark, d).where("half_open is not null").withColumn("r", L.parse_half_open(F.col("half_open")))
+    return parsed.select("chunk_id", "updated_at", "r.lo", "r.hi")
+
+
 @query()
 def image_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Figures drawn from the part table, decoded only where size and position leave the decision open."""

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import STOP_WORDS, preview
-from folioflow.functions.vectors import cosine_to
+from folioflow.functions.text import preview
 from folioflow.operators import chat, guard, health, observe, rerank, search
 from folioflow.operators.current import current_rows
 from folioflow.plans.registry import AS_OF, CURRENT, STRIP, query
 from folioflow.sources import table
-from folioflow.sources.files import results_json
+from folioflow.sources.files import VectorCollection, results_json
+from folioflow.storage import scratch
 from folioflow.streaming import ingest
 
 DIM, QUESTION = 64, "the load balancer and the cache tier"
@@ -46,50 +46,66 @@ def scored(frame: str) -> str:
 
 @query(f"select chunk_id from {ELIGIBLE}")
 def acl_filter(spark: SparkSession, d: str) -> DataFrame:
-    return search.eligible(chunks_of(spark, d), table(spark, d, "documents"), request(spark, d, "keyword")).select("chunk_id")
+    return search.scored(table(spark, d, "chunks"), table(spark, d, "documents"), request(spark, d, "keyword"), {}).select("chunk_id")
+
+
+@query(f"select chunk_id from {ELIGIBLE} e where exists (select 1 from documents x where x.doc_key = e.doc_id and x.doc_type in ('manual', 'report', 'ebook'))")
+def doc_type_filter(spark: SparkSession, d: str) -> DataFrame:
+    asked = request(spark, d, "keyword", doc_types=("manual", "report", "ebook"))
+    return search.scored(table(spark, d, "chunks"), table(spark, d, "documents"), asked, {}).select("chunk_id")
+
+
+@query("select chunk_id from chunks where embedding is not null order by chunk_id, updated_at")
+def collection_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A vector collection written and loaded again: every row of it, equal texts too."""
+    made = VectorCollection(spark, scratch(spark, "collection"))
+    made.create(table(spark, d, "chunks").where("embedding is not null").select("chunk_id", "embedding"))
+    return made.load().select("chunk_id")
 
 
 @query(f"""
 select chunk_id, doc_id, md5(text_for_embedding) digest, sim vector_similarity, row_number() over (order by sim desc, chunk_id)::int "rank" from {scored(ELIGIBLE)} where sim >= 0 order by sim desc, chunk_id limit 10""")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest chunks that the asker may read, of valid documents."""
-    rows = search.retrieve(chunks_of(spark, d), table(spark, d, "documents"), request(spark, d, "vector"))
+    rows = search.retrieve(table(spark, d, "chunks"), table(spark, d, "documents"), request(spark, d, "vector"))
     return rows.select("chunk_id", "doc_id", F.md5("text").alias("digest"), "vector_similarity", "rank")
 
 
 @query(f"select chunk_id, sim vector_similarity from {scored(CURRENT)} where sim >= 0.1")
 def vector_threshold(spark: SparkSession, d: str) -> DataFrame:
     """All chunks at or above a similarity, without filters."""
-    hits = chunks_of(spark, d).select("chunk_id", cosine_to(probe(spark, d))(F.col("embedding")).alias("vector_similarity"))
-    return hits.where("vector_similarity >= 0.1")
+    asked = search.Request(QUESTION, probe(spark, d))
+    return search.latest(table(spark, d, "chunks"), search.similarity(asked)).where("vector_similarity >= 0.1")
 
 
 @query(f"select chunk_id, sim vector_similarity from {scored(CURRENT)} order by sim desc, chunk_id limit 3")
 def plain_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.nearest(chunks_of(spark, d), search.Request(QUESTION, probe(spark, d), min_similarity=-1.0), 3)
+    asked = search.Request(QUESTION, probe(spark, d), min_similarity=-1.0)
+    return search.nearest(search.latest(table(spark, d, "chunks"), search.similarity(asked)), asked, 3)
 
 
-def _terms_sql(text: str) -> str:
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    return f"list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'), lambda w: w not in ({stop}))"
-
-
-ASKED = "['balancer', 'cache', 'load', 'tier']"
+ASKED = ["balancer", "cache", "load", "tier"]
 
 
 def keyword_sql(frame: str) -> str:
-    return f"""(select chunk_id, round(len(list_filter(w, lambda x: x in ('balancer', 'cache', 'load', 'tier'))) / (1 + ln(len(w)::double)), 6) score
-  from (select chunk_id, {_terms_sql("text_for_embedding")} w from {frame} k where text_for_embedding is not null) where list_has_all(w, {ASKED}))"""
+    """Cover density by window functions: the latest place of each term up to a place, and of equal earliest ones the first place."""
+    last = [f"max(p) filter (where t = '{w}') over o" for w in ASKED]
+    return f"""(with texts as (select chunk_id, regexp_extract_all(lower(text_for_embedding), '[\\p{{L}}\\p{{N}}]+') w from {frame} k where text_for_embedding is not null),
+  places as (select chunk_id, unnest(range(1, len(w) + 1)) p, unnest(w) t from texts where list_has_all(w, {ASKED})),
+  spots as (select *, row_number() over (partition by chunk_id order by p) nth from places where t in {tuple(ASKED)}),
+  ends as (select *, [{", ".join(last)}] last from spots window o as (partition by chunk_id order by p)),
+  covers as (select chunk_id, list_min(last) l, min(p) r, min(nth) nth from ends where len(list_filter(last, lambda x: x is null)) = 0 group by 1, 2)
+  select c.chunk_id, round(sum(0.1::double / (1 + (c.r - c.l) - (c.nth - s.nth))), 6) score from covers c join spots s on s.chunk_id = c.chunk_id and s.p = c.l group by 1)"""
 
 
 @query(f"select chunk_id, score keyword_score from {keyword_sql(CURRENT)}")
 def keyword_match(spark: SparkSession, d: str) -> DataFrame:
-    return search.matching(chunks_of(spark, d), search.query_terms(QUESTION))
+    return search.matching(search.latest(table(spark, d, "chunks"), search.keyword_score(F.col("text_for_embedding"), search.query_terms(QUESTION))))
 
 
 @query(f"select chunk_id, score keyword_score from {keyword_sql(ELIGIBLE)} order by score desc, chunk_id limit 10")
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
-    rows = search.retrieve(chunks_of(spark, d), table(spark, d, "documents"), request(spark, d, "keyword"))
+    rows = search.retrieve(table(spark, d, "chunks"), table(spark, d, "documents"), request(spark, d, "keyword"))
     return rows.select("chunk_id", "keyword_score")
 
 
@@ -101,7 +117,7 @@ select *, round(0.7::double * vector_similarity + 0.3::double * keyword_score, 6
 
 @query(f"select * from {HYBRID.replace('ROWS', '10')} order by combined_score desc, chunk_id")
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
-    rows = search.retrieve(chunks_of(spark, d), table(spark, d, "documents"), request(spark, d, "hybrid"))
+    rows = search.retrieve(table(spark, d, "chunks"), table(spark, d, "documents"), request(spark, d, "hybrid"))
     return rows.select("chunk_id", "vector_similarity", "keyword_score", "combined_score")
 
 
@@ -111,14 +127,14 @@ s as (select h.chunk_id, combined_score, retrieval_rank, len(list_filter(list_di
 select chunk_id, combined_score, round(rerank_score, 6) rerank_score, row_number() over (order by rerank_score desc, retrieval_rank)::int "rank" from s order by rerank_score desc, retrieval_rank limit 10""")
 def hybrid_reranked(spark: SparkSession, d: str) -> DataFrame:
     asked = request(spark, d, "hybrid", rerank=True)
-    rows = search.retrieve(chunks_of(spark, d), table(spark, d, "documents"), asked, rerank.TermOverlap())
+    rows = search.retrieve(table(spark, d, "chunks"), table(spark, d, "documents"), asked, rerank.TermOverlap())
     return rows.select("chunk_id", "combined_score", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
 @query()
 def retrieval_json(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid results as JSON lines with all twelve keys."""
-    rows = search.retrieve(chunks_of(spark, d), table(spark, d, "documents"), request(spark, d, "hybrid"))
+    rows = search.retrieve(table(spark, d, "chunks"), table(spark, d, "documents"), request(spark, d, "hybrid"))
     return rows.select("rank", results_json(rows).alias("result"))
 
 
@@ -240,24 +256,12 @@ def corpus_dimensions(spark: SparkSession, d: str) -> DataFrame:
     return health.dimensions(table(spark, d, "chunks"))
 
 
-@query(f"""
-with t as (select item_id query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> ''))) w from eval_items where suite = 'short_facts'),
-n as (select query_id, count(*) n from t group by 1),
-d as (select query_id text_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> ''))) w from (select distinct query_id, query from rag_queries))
-select query_id, text_id, round(count(*) / any_value(n), 6) score from t join d using (w) join n using (query_id) group by 1, 2""")
-def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Shared words of every pair of a short evaluation fact and a logged question, as its SQL has it; all items: ``rerank_overlap_all``."""
-    facts = table(spark, d, "eval_items").where("suite = 'short_facts'").select(F.col("item_id").alias("query_id"), "text")
-    asked = table(spark, d, "rag_queries").select("query_id", "query").distinct().select(F.col("query_id").alias("text_id"), F.col("query").alias("t"))
-    return rerank.overlap_pairs(facts, asked, "text", "t").withColumn("score", F.round("score", 6))
-
-
 @query("""
 with t as (select item_id query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> ''))) w from eval_items),
 n as (select query_id, count(*) n from t group by 1),
 d as (select query_id text_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> ''))) w from (select distinct query_id, query from rag_queries))
 select query_id, text_id, round(count(*) / any_value(n), 6) score from t join d using (w) join n using (query_id) group by 1, 2""")
-def rerank_overlap_all(spark: SparkSession, d: str) -> DataFrame:
+def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Shared words of every pair of an evaluation item, of whatever suite, and a logged question."""
     items = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "text")
     asked = table(spark, d, "rag_queries").select("query_id", "query").distinct().select(F.col("query_id").alias("text_id"), F.col("query").alias("t"))

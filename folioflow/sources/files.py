@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from folioflow import schemas
+from folioflow.commits import CommitLog
 from folioflow.functions.vectors import cosine_to
 from folioflow.storage import filesystem
 
@@ -20,7 +24,9 @@ Extractor = Callable[[bytes], list[str]]
 
 
 def plain_pages(data: bytes) -> list[str]:
-    """Pages of a text file are separated by form feeds. Extractors of other formats are given by the caller."""
+    """Pages of a text file are separated by form feeds. Extractors of other formats are given by the caller; a file that isn't text is refused."""
+    if data[:5] == b"%PDF-" or b"\0" in data[:1024]:
+        raise ValueError("not a text file; give an extractor of its format")
     return data.decode("utf-8", "replace").split("\f")
 
 
@@ -30,7 +36,7 @@ def ensure_folder(path: str | Path) -> Path:
     return folder
 
 
-def read_pages(spark: SparkSession, folder: str, pattern: str = "*.pdf", extract: Extractor = plain_pages) -> DataFrame:
+def read_pages(spark: SparkSession, folder: str, pattern: str = "*.txt", extract: Extractor = plain_pages) -> DataFrame:
     """``source_file``, ``page`` from 1, ``text``, ``total_pages``, ``error``: the pages of the files directly in a folder.
 
     Files are read and taken apart where they lie; a file whose extraction fails is one row with the error.
@@ -143,38 +149,44 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def open_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table of :func:`swap_table` as it is now; None before the first swap."""
+    return CommitLog(spark, path).table("table")
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A parquet table, or no rows if it doesn't exist yet."""
-    fs, where = filesystem(spark, path)
-    return spark.read.schema(schema).parquet(path) if fs.exists(where) else spark.createDataFrame([], schema)
+    found = open_table(spark, path)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def swap_table(df: DataFrame, path: str) -> None:
-    """Replace a parquet table: written beside it whole, then moved in its place. What reads the old table keeps its files
-    until the move, so ``df`` may read ``path``. A crash between the two moves leaves the old table under ``.old``, from where
-    the next swap or :func:`recover_table` brings it back."""
-    spark = df.sparkSession
-    recover_table(spark, path)
-    fs, target = filesystem(spark, path)
-    _, fresh = filesystem(spark, path + ".new")
-    _, old = filesystem(spark, path + ".old")
-    fs.delete(fresh, True)
-    df.write.parquet(path + ".new")
-    if fs.exists(target) and not fs.rename(target, old):
-        raise RuntimeError(f"{path} could not be moved aside")
-    if not fs.rename(fresh, target):
-        raise RuntimeError(f"{path} could not be put in place")
-    fs.delete(old, True)
-
-
-def recover_table(spark: SparkSession, path: str) -> None:
-    fs, target = filesystem(spark, path)
-    _, old = filesystem(spark, path + ".old")
-    if fs.exists(old):
-        if fs.exists(target):
-            fs.delete(old, True)
-        else:
-            fs.rename(old, target)
+    """Replace a table by one commit: readers see the old one or the new one, at every moment one of them. ``df`` may read the table
+    itself, and who reads the version before keeps its files until the swap after the next. One writer at a time."""
+    log = CommitLog(df.sparkSession, path)
+    log.publish({"table": df})
+    log.vacuum(keep=2)
+
+
+def write_json(spark: SparkSession, path: str, document) -> None:
+    """A whole-file JSON document, of a size that the driver holds, replaced with one rename."""
+    fs, where = filesystem(spark, path)
+    _, fresh = filesystem(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(fresh, True)
+    stream.write(bytearray(json.dumps(document, ensure_ascii=False, indent=2, default=str).encode()))
+    stream.close()
+    jvm = spark.sparkContext._jvm
+    options = getattr(jvm.org.apache.hadoop.fs.Options, "Rename")
+    over = spark.sparkContext._gateway.new_array(options, 1)
+    over[0] = options.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(fresh, where, over)
+
+
+def write_metrics(spark: SparkSession, path: str, metrics: dict, errors: DataFrame, message: str = "error") -> dict:
+    """A run's numbers with how many records failed and, in the order of their text, the first ten messages."""
+    first = [r[0] for r in errors.where(F.col(message).isNotNull()).select(message).orderBy(message).limit(10).collect()]
+    document = metrics | {"failed": errors.where(F.col(message).isNotNull()).count(), "errors": first}
+    write_json(spark, path, document)
+    return document
 
 
 class VectorCollection:
@@ -183,28 +195,31 @@ class VectorCollection:
     def __init__(self, spark: SparkSession, folder: str, name: str = "chunks"):
         self.spark, self.path = spark, f"{folder.rstrip('/')}/{name}"
 
-    def _exists(self) -> bool:
-        fs, where = filesystem(self.spark, self.path)
-        return fs.exists(where)
-
     def create(self, chunks: DataFrame) -> int:
-        """Write the collection, replacing it; chunks with the same text are kept once per source. An empty input is an error."""
-        once = chunks.withColumn("content_hash", F.substring(F.sha2("text", 256), 1, 16)).dropDuplicates(["source", "content_hash"])
-        if once.isEmpty():
+        """Write the collection, replacing it, every chunk of it. An empty input is an error."""
+        if chunks.isEmpty():
             raise ValueError("no chunks to index")
-        swap_table(once, self.path)
+        swap_table(chunks, self.path)
         return self.load().count()
 
-    def create_temporary(self, chunks: DataFrame, view: str) -> DataFrame:
-        """A cached view instead of a table."""
+    @contextmanager
+    def temporary(self, chunks: DataFrame, view: str) -> Iterator[DataFrame]:
+        """A cached view instead of a table, released at the end of the block. An empty input is an error."""
+        if chunks.isEmpty():
+            raise ValueError("no chunks to index")
         kept = chunks.cache()
         kept.createOrReplaceTempView(view)
-        return kept
+        try:
+            yield kept
+        finally:
+            self.spark.catalog.dropTempView(view)
+            kept.unpersist()
 
     def load(self) -> DataFrame:
-        if not self._exists():
+        found = open_table(self.spark, self.path)
+        if found is None:
             raise FileNotFoundError(f"no collection at {self.path}")
-        return self.spark.read.parquet(self.path)
+        return found
 
     def search(self, vector: list[float], k: int = 3) -> DataFrame:
         """The ``k`` nearest chunks with their cosine distance, nearest first."""
@@ -212,7 +227,8 @@ class VectorCollection:
         return scored.where(F.col("distance").isNotNull()).orderBy("distance", "chunk_id").limit(k)
 
     def stats(self) -> dict:
-        return {"count": self.load().count() if self._exists() else 0, "path": self.path}
+        found = open_table(self.spark, self.path)
+        return {"count": 0 if found is None else found.count(), "path": self.path}
 
     def delete(self) -> None:
         fs, where = filesystem(self.spark, self.path)

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioflow.operators import chunking, sections
+from folioflow.plans import pipeline
 
 
 def by_hand(paragraphs, prefix, room, overlap):
@@ -110,3 +111,18 @@ def test_outline_paths(spark):
     rows = [("d", 1, "A", 1, 1), ("d", 2, "B", 2, 2), ("d", 3, "C", 3, 2), ("d", 4, "D", 1, 5), ("d", 5, "E", 2, 6), ("d", 6, "gone", 2, None)]
     out = sections.walk_outline(spark.createDataFrame(rows, "doc_id string, ord int, title string, level int, page_start int")).orderBy("ord").collect()
     assert [r["parent_path"] for r in out] == [[], ["A"], ["A", "B"], [], ["D"]]
+    deep = [("d", i, f"t{i}", i, 1) for i in range(1, 15)] + [("e", 1, "x", None, 1), ("e", 2, "y", 3, 1), ("e", 3, "z", 2, 1)]
+    out = sections.walk_outline(spark.createDataFrame(deep, "doc_id string, ord int, title string, level int, page_start int")).orderBy("doc_id", "ord").collect()
+    assert out[13]["parent_path"] == [f"t{i}" for i in range(1, 14)] and [r["parent_path"] for r in out[14:]] == [[], [], []]
+
+
+def test_sections_of_an_outline(spark):
+    outline = spark.createDataFrame([("d", 1, "A", 1, 1), ("d", 2, "B", 2, 3), ("d", 3, "C", 2, 3)], "doc_id string, ord int, title string, level int, page_start int")
+    pages = spark.createDataFrame([("d", 1, "one"), ("d", 2, "two"), ("d", 3, "three"), ("d", 4, None)], "doc_id string, page int, text string")
+    figures = spark.createDataFrame([("d", 2, "f1", "process_as_chart"), ("d", 4, "f2", "skip_decorative")], "doc_id string, page int, element_id string, decision string")
+    out = {r["heading"]: r for r in pipeline.sections_from_outline(outline, pages, figures).collect()}
+    assert set(out) == {"A", "C"} and out["A"]["text"] == "one\n\ntwo" and out["C"]["text"] == "three\n\n" and out["C"]["parent_path"] == ["A"]
+    assert [f["element_id"] for f in out["A"]["figures"]] == ["f1"] and out["C"]["figures"] == [] and tuple(out["A"]["page_range"]) == (1, 2)
+    files = pages.select(F.lit("d.pdf").alias("source_file"), "page", "text").unionByName(spark.createDataFrame([("plain.pdf", 1, "no outline")], "source_file string, page int, text string"))
+    chunks = {r["section_heading"]: r for r in pipeline.build_chunks(files, outline, figures).collect()}
+    assert set(chunks) == {"A", "C", "Pages 1-1"} and chunks["A"]["chunk_type"] == "prose_with_figure"

@@ -1,4 +1,5 @@
-import math
+import json
+import random
 import re
 
 import pytest
@@ -6,7 +7,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from folioflow.functions.vectors import cosine, cosine_to
-from folioflow.operators import health, rerank, search
+from folioflow import cli, config
+from folioflow.operators import embedding, health, rerank, search
+from folioflow.plans import pipeline
 
 CHUNK = (
     "chunk_id string, doc_id string, embedding array<float>, text_for_embedding string, section_heading string, section_path string, page_range struct<lo:int,hi:int>, "
@@ -50,8 +53,7 @@ def test_results_do_not_depend_on_partitions(corpus):
 
 def test_keyword_search_needs_all_terms(corpus):
     rows = search.retrieve(*corpus, ask(mode="keyword", min_similarity=9.0))
-    assert ids(rows) == ["c2", "c6", "c1"]  # raw scores ignore the threshold
-    assert rows.where("chunk_id = 'c6'").first()["keyword_score"] == round(2 / (1 + math.log(2)), 6)
+    assert ids(rows) == ["c1", "c2", "c6"] and {r["keyword_score"] for r in rows.collect()} == {0.1}  # raw scores ignore the threshold
     assert ids(search.retrieve(*corpus, ask(mode="keyword", query="the and"))) == []
 
 
@@ -102,20 +104,62 @@ def test_top_k_is_a_bounded_sort(corpus):
     assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan
 
 
-def test_cover_density():
-    assert search.cover_density([[1], [2]]) == 1.0
-    assert search.cover_density([[1], [4]]) == pytest.approx(1 / 3)
-    assert search.cover_density([[1, 10], [2, 11]]) == 2.125  # 1-2, 2-10 and 10-11
-    assert search.cover_density([[1], []]) == 0.0
+def covers(words, wanted):
+    """Scores of all shortest stretches, by trying every pair of ends."""
+    full = lambda a, b: set(wanted) <= set(words[a : b + 1])
+    n, out = len(words), 0.0
+    for a in range(n):
+        for b in range(a, n):
+            if full(a, b) and not full(a + 1, b) and not full(a, b - 1):
+                out += 0.1 / (1 + sum(w not in wanted for w in words[a : b + 1]))
+    return round(out, 6) or None
 
 
-def test_health(spark, corpus):
+def test_cover_density_against_every_stretch(spark):
+    rng = random.Random(1)
+    texts = [[rng.choice("abcxyz") for _ in range(rng.randint(0, 14))] for _ in range(60)] + [["a", "b"], ["a", "x", "x", "b"], ["b"]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, w array<string>")
+    for wanted in (["a", "b"], ["a", "b", "c"], ["a"]):
+        got = {r["i"]: r["s"] for r in df.select("i", F.round(search.cover_density(F.col("w"), wanted), 6).alias("s")).collect()}
+        assert got == {i: covers(t, wanted) for i, t in enumerate(texts)}
+
+
+def test_only_the_latest_version_of_a_chunk_is_found(spark, corpus, tmp_path, monkeypatch, capsys):
+    chunks, docs = corpus
+    chunks = chunks.where("chunk_id <> 'c8'")
+    versions = chunks.withColumn("updated_at", F.lit(1)).unionByName(chunks.where("chunk_id in ('c1', 'c2')").withColumns({"updated_at": F.lit(2), "text_for_embedding": F.lit("other words")}))
+    versions = versions.unionByName(versions)
+    rows = search.retrieve(versions, docs, ask(mode="vector")).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["text"]) for r in rows] == [("c1", "other words"), ("c2", "other words"), ("c9", "beta")]
+    assert ids(search.retrieve(versions, docs, ask(mode="keyword"))) == ["c6"]
+    settings = config.load_settings({"EMBEDDING_DIMENSION": "2", "EMBEDDING_MODEL": "m"})
+    versions.write.parquet(f"{tmp_path}/chunks.parquet")
+    stored = spark.read.parquet(f"{tmp_path}/chunks.parquet").withColumn("embedding_model", F.lit(settings.embedding.model_name))
+    engine = pipeline.Engine(spark, settings, embedding.HashEmbedder(2), stored, docs, doc_key="doc_key")
+    assert ids(engine.search("alpha beta", mode="keyword")) == ["c4", "c5", "c6"]
+    stored.write.parquet(f"{tmp_path}/cli/chunks.parquet")
+    docs.write.parquet(f"{tmp_path}/cli/documents.parquet")
+    monkeypatch.setenv("EMBEDDING_DIMENSION", "2")
+    monkeypatch.setenv("EMBEDDING_MODEL", "m")
+    cli.main(["other words", "--data", f"{tmp_path}/cli", "--mode", "keyword", "--json"])
+    assert [r["chunk_id"] for r in json.loads(capsys.readouterr().out)] == ["c1", "c2"]
+
+
+def test_the_texts_of_hits_alone_are_shuffled(spark, data):
+    hits = spark.createDataFrame([("x",)], "chunk_id string")
+    plan = search.with_results(hits, spark.read.parquet(f"{data}/chunks.parquet"), ask())._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.index("Exchange hashpartitioning") < plan.index("BroadcastHashJoin")  # the join lies below the shuffle
+
+
+def test_health(spark, corpus, tmp_path):
     chunks = corpus[0]
-    assert health.check_corpus(None, "m", 2)["error"] == "chunks table does not exist"
-    assert health.check_corpus(chunks.limit(0), "m", 2)["error"] == "chunks table is empty"
-    assert "not found" in health.check_corpus(chunks, "other", 2)["error"]
-    state = health.check_corpus(chunks, "m", 2)
-    assert state["ok"] and state["chunk_count"] == 9 and state["odd_vectors"] == 1
+    assert health.inspect(None, "m", 2).problems == ["there is no table of chunks"]
+    assert health.inspect(chunks.limit(0), "m", 2).problems == ["the table of chunks has no rows"]
+    assert "only by m" in health.inspect(chunks, "other", 2).problems[0]
+    one_wrong = health.inspect(chunks, "m", 2)
+    assert not one_wrong.ok and one_wrong.wrong_length == {3: 1} and one_wrong.without_vector == 1 and one_wrong.chunks == {"m": 9}
+    fine = health.inspect(chunks.where("chunk_id <> 'c8'"), "m", 2, index=f"file://{tmp_path}")
+    assert fine.ok and fine.has_index and not health.inspect(chunks, "m", 2, index=f"file://{tmp_path}/none").has_index
 
 
 def test_overlap_takes_items_of_every_suite(spark, data):
@@ -123,5 +167,5 @@ def test_overlap_takes_items_of_every_suite(spark, data):
     asked = {(r["query_id"], r["query"]) for r in spark.read.parquet(f"{data}/rag_queries.parquet").select("query_id", "query").collect()}
     terms = lambda t: {w for w in re.split(r"[ \t\n\r\f\v]+", (t or "").lower()) if w}
     want = {(i["item_id"], q): round(len(a & b) / len(a), 6) for i in items for q, t in asked if (a := terms(i["text"])) & (b := terms(t))}
-    got = {(r["query_id"], r["text_id"]): r["score"] for r in entry.queries()["rerank_overlap_all"](spark, data).collect()}
+    got = {(r["query_id"], r["text_id"]): r["score"] for r in entry.queries()["rerank_overlap"](spark, data).collect()}
     assert got == want and {i["suite"] for i in items if any((i["item_id"], q) in got for q, _ in asked)} == {i["suite"] for i in items}

@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow import cli, config
-from folioflow.cache import CachedEmbedder, EmbeddingCache
+from folioflow.cache import CachedEmbedder, VectorMemo
 from folioflow.operators import observe
-from folioflow.operators.embedding import HashEmbedder
+from folioflow.commits import CommitLog
+from folioflow.operators.embedding import HashEmbedder, embed
 from folioflow.plans import pipeline
 from folioflow.sources import files
 from folioflow.storage import materialize, shared_dir
@@ -45,11 +46,12 @@ def test_swapping_a_table_that_is_read(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     assert files.read_or_empty(spark, path, "n long").count() == 0
     files.swap_table(spark.range(3).select(F.col("id").alias("n")), path)
-    files.swap_table(spark.read.parquet(path).select(F.col("n") + 1), path)
-    assert spark.read.parquet(path).count() == 3
-    (tmp_path / "t").rename(tmp_path / "t.old")  # a crash between the two moves
-    files.recover_table(spark, path)
-    assert spark.read.parquet(path).count() == 3
+    old = files.open_table(spark, path)
+    for _ in range(2):
+        files.swap_table(files.open_table(spark, path).select((F.col("n") + 1).alias("n")), path)
+        assert old is None or files.open_table(spark, path).count() == 3
+    assert sorted(r["n"] for r in files.open_table(spark, path).collect()) == [2, 3, 4]
+    assert len([*(tmp_path / "t/data").iterdir()]) == 2  # the version before is kept for its readers
 
 
 def test_vector_collection(spark, tmp_path):
@@ -59,8 +61,12 @@ def test_vector_collection(spark, tmp_path):
     rows = spark.createDataFrame([("1", "s", "t", [1.0, 0.0]), ("1b", "s", "t", [1.0, 0.0]), ("2", "s", "u", [0.0, 1.0])], "chunk_id string, source string, text string, embedding array<float>")
     with pytest.raises(ValueError):
         made.create(rows.limit(0))
-    assert made.create(rows) == 2 and made.stats()["count"] == 2
-    assert [r["distance"] for r in made.search([1.0, 0.0], 2).collect()] == [0.0, 1.0]
+    assert made.create(rows) == 3 and made.stats()["count"] == 3  # chunks with one text are two chunks
+    assert [r["distance"] for r in made.search([1.0, 0.0]).collect()] == [0.0, 0.0, 1.0]
+    with made.temporary(rows, "few") as view:
+        assert spark.table("few").count() == view.count() == 3
+    with pytest.raises(ValueError), made.temporary(rows.limit(0), "few"):
+        pass
     made.delete()
     assert made.stats()["count"] == 0
 
@@ -77,14 +83,14 @@ def test_settings(tmp_path):
 
 def test_cache():
     now = [0.0]
-    cache = EmbeddingCache(2, 10, lambda: now[0])
+    cache = VectorMemo(2, 10, lambda: now[0])
     model = CachedEmbedder(HashEmbedder(4), cache)
     hits = [model.embed(q)[1] for q in ("a", "b", "a", "b", "c")]
-    assert hits == [False, False, True, True, False] and cache.stats()["hits"] == 2 and cache.evictions == 1
+    assert hits == [False, False, True, True, False] and cache.report()["hits"] == 2 and cache.report()["evictions"] == 1
     now[0] = 11
     assert model.embed("c")[1] is False
     cache.clear()
-    assert cache.stats()["hit_rate"] == 0
+    assert cache.report()["hit_rate"] == 0
 
     class Flaky(HashEmbedder):
         tries = 0
@@ -126,6 +132,34 @@ def test_run_log(spark, tmp_path):
     assert observe.append_run(spark, path, metrics, "t") == {"run_number": 2, "timestamp": "t", "chunks_processed": 1, "chunks_skipped": 2, "chunks_failed": 0, "total_cost_usd": 0.123457, "total_duration_seconds": 1.24}
 
 
+def test_logs_of_many_queries_make_few_files(spark, tmp_path):
+    with observe.QueryLog(spark, f"file://{tmp_path}/q", every=10) as log:
+        for i in range(15):
+            with log.query(f"q{i}"):
+                pass
+        assert log.read().count() == 10
+    assert log.read().count() == 15 and len([*(tmp_path / "q").glob("part-*")]) == 2
+
+
+def test_failed_batches_are_counted_and_leave_the_others(spark):
+    class Sometimes(HashEmbedder):
+        def embed_batch(self, texts):
+            if "bad" in texts:
+                raise OSError("refused")
+            return super().embed_batch(texts)
+
+    rows = spark.createDataFrame([("a", "good"), ("b", "bad"), ("c", None)], "chunk_id string, text_for_embedding string").coalesce(1)
+    out = {r["chunk_id"]: r for r in embed(rows, "text_for_embedding", lambda: Sometimes(4), batch_size=1, tries=2, wait=0.0, errors=True).collect()}
+    assert len(out["a"]["embedding"]) == 4 and out["b"]["embedding_error"] == "OSError: refused" and out["b"]["embedding"] is None and out["c"]["embedding_error"] is None
+    with pytest.raises(Exception):
+        embed(rows, "text_for_embedding", lambda: Sometimes(4), batch_size=1, tries=1).collect()
+
+
+def test_files_that_are_not_text_are_refused(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"%PDF-1.7 \x00\x01")
+    assert "not a text file" in files.read_pages(spark, str(tmp_path)).first()["error"]
+
+
 def test_streamed_upserts_are_exactly_once(spark, tmp_path):
     schema = "chunk_id string, content_hash string, embedding_model_version string, text_for_embedding string, embedded_at double"
     stored = schema + ", run_id string, updated_at timestamp, created_at timestamp"
@@ -137,7 +171,7 @@ def test_streamed_upserts_are_exactly_once(spark, tmp_path):
     (source / "2.json").write_text('{"chunk_id":"b","content_hash":"1","embedded_at":3}\n')
     run()
     run()
-    assert sorted((r["chunk_id"], r["content_hash"]) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [("a", "2"), ("b", "1")]
+    assert sorted((r["chunk_id"], r["content_hash"]) for r in files.open_table(spark, f"file://{tmp_path}/t").collect()) == [("a", "2"), ("b", "1")]
 
 
 def test_materialized_tables_lie_in_the_shared_folder(spark):
@@ -192,5 +226,8 @@ def test_building_twice_embeds_once(spark, tmp_path):
     (source / "two.txt").write_text("delta changed")
     third = build(spark, str(source), out)
     assert third["embedded"] == 1 and third["updated"] == 1
-    assert spark.read.parquet(f"{out}/chunks").count() == 2 and spark.read.parquet(f"{out}/documents").count() == 2
+    built = CommitLog(spark, out)
+    assert built.number() == 3 and built.table("chunks").count() == 2 and built.table("documents").count() == 2
+    assert json.loads((tmp_path / "out/metrics.json").read_text()) == {"chunks": 2, "failed": 0, "errors": []}
+    assert cli.main(["delta", "--data", out, "--mode", "keyword"]) == 0
     assert build(spark, str(source), out, only="ONE", rebuild=True)["chunks"] == 1
