@@ -8,6 +8,7 @@ Languages are voted for by common words, in the response only by words that are
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -103,7 +104,7 @@ class SuffixAutomaton:
 
     def covered(self, sequence: list[str], least: int) -> list[bool]:
         """Which words lie in a stretch of at least ``least`` words of the automaton's sequence."""
-        out, state, size = [False] * len(sequence), 0, 0
+        out, state, size, marked = [False] * len(sequence), 0, 0, 0
         for i, w in enumerate(sequence):
             while state and w not in self.next[state]:
                 state = self.link[state]
@@ -112,14 +113,39 @@ class SuffixAutomaton:
                 state, size = self.next[state][w], size + 1
             else:
                 size = 0
-            if size >= least:
-                out[i - size + 1 : i + 1] = [True] * size
+            if size >= least:  # stretches begin ever later: what is marked stays marked, and each word is marked once
+                marked = max(marked, i - size + 1)
+                out[marked : i + 1] = [True] * (i + 1 - marked)
+                marked = i + 1
         return out
 
 
+# Parts that refusals are made of, by language: who declines, how, and what. Any sequence of the three is a refusal.
+PARTS = {
+    "en": (
+        "i|we|this assistant|the assistant",
+        "cannot|can't|can not|could not|couldn't|will not|won't|am unable to|are unable to|is unable to|am not able to|are not able to|am not in a position to|do not wish to|must refuse to|must decline to|have to refuse to",
+        "help|assist|answer|respond|reply|comment|discuss|disclose|share|reveal|give you|tell you|provide|offer|say anything|advise|speak about|talk about|go into",
+    ),
+    "de": (
+        "ich|wir",
+        "kann|können|darf|dürfen|möchte|werde",
+        "dazu nichts sagen|dazu keine auskunft geben|keine auskunft geben|darauf nicht antworten|das nicht beantworten|die frage nicht beantworten|nicht weiterhelfen|ihnen nicht helfen|dir nicht helfen|hier nicht helfen",
+    ),
+    "fr": ("je|nous", "ne peux pas|ne peux|ne pouvons pas|ne puis|ne suis pas en mesure de|ne souhaite pas|dois refuser de", "répondre|vous aider|t'aider|aider|vous renseigner|fournir|donner|discuter|commenter|en parler|dire"),
+    "es": ("", "no puedo|no podemos|no debo|no quiero|no estoy en condiciones de", "ayudar|ayudarle|ayudarte|responder|contestar|comentar|hablar|proporcionar|ofrecer|dar|decir|revelar|compartir"),
+}
+
+
+def refusals() -> list[str]:
+    """Every refusal that the fixed phrases and parts make."""
+    made = [" ".join(x for x in parts if x) for several in PARTS.values() for parts in itertools.product(*(p.split("|") for p in several))]
+    return sorted({*REFUSALS, *made})
+
+
 def refusal_automaton() -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
-    for phrase in REFUSALS:
+    for phrase in refusals():
         machine.add_word(f" {phrase} ", len(phrase) + 1)
     machine.make_automaton()
     return machine

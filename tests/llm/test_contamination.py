@@ -1,5 +1,8 @@
+import pickle
 import random
 
+import pytest
+
 from folioflow.llm import contamination as c
 
 DOC, ITEM = "doc_id long, text string, item_id string", "item_id long, text string"
@@ -41,10 +44,29 @@ def test_positions_lie_in_the_original(spark):
     assert text[row["start"] : row["end"]] == "One TWO, three" and row["windows"] == 1
 
 
-def test_many_items_need_several_automata(monkeypatch):
-    monkeypatch.setattr(c, "WINDOWS", 3)
-    machines = c.automata([(i, f"a{i} b{i} c{i} d{i}") for i in range(6)], 2)
-    assert len(machines) > 1 and c.scan("x a4 b4 y b0 c0", machines) == {4: (1, 3, 1), 0: (4, 6, 1)}
+def test_items_beyond_the_bound_go_to_further_machines(spark):
+    items = [(i, f"a{i} b{i} c{i} d{i}") for i in range(6)]
+    built = c.machines(items, 2, most_bytes=32 * 12)
+    assert len(built) > 1
+    hits = {}
+    for machine in built:
+        hits |= machine.scan("x a4 b4 y b0 c0 d0")
+    assert hits == {4: (1, 3, 1), 0: (4, 7, 2)} == c.machines(items, 2)[0].scan("x a4 b4 y b0 c0 d0")
+    docs = spark.createDataFrame([(1, "x a4 b4 y b0 c0", "x"), (2, "nothing", "x")], DOC)
+    rows = lambda most: sorted(tuple(r) for r in c.leaked_items(docs, spark.createDataFrame(items, ITEM), run=2, most_bytes=most).collect())
+    assert rows(32 * 12) == rows(None) == [(1, 0, 10, 15, 1), (1, 4, 2, 7, 1)]
+    with pytest.raises(ValueError):
+        c.leaked_items(docs, spark.createDataFrame(items, ITEM), most=5)
+
+
+def test_a_large_set_of_items_makes_a_small_machine():
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(50_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=60))) for i in range(5000)]
+    (machine,) = c.machines(items, 12)
+    assert len(pickle.dumps(machine)) < 80_000_000
+    text = " ".join(rng.choices(vocabulary, k=500)) + " " + " ".join(items[77][1].split()[20:33]) + " end"
+    assert pickle.loads(pickle.dumps(machine)).scan(text) == {77: (500, 513, 2)}
 
 
 def test_empty_tables(spark):

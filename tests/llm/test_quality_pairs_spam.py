@@ -103,6 +103,33 @@ def test_defects(query, answer, defects):
     assert pairs.defects(query, answer, MACHINE, VOTES) == defects
 
 
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "We are not able to disclose that figure here.", "This assistant is unable to share such details.", "I could not comment on that.", "Ich möchte dazu keine Auskunft geben.",
+        "Wir können dir nicht helfen.", "Je ne souhaite pas en parler.", "No podemos revelar esos datos.", "No quiero hablar de eso.",
+    ],
+)
+def test_refusals_in_other_words(answer):
+    assert not any(f" {p} " in f" {' '.join(pairs.words(answer))} " for p in pairs.REFUSALS)
+    assert pairs.is_refusal(answer, MACHINE)
+
+
+@pytest.mark.parametrize("answer", ["The box cannot provide more than two volts.", "We can help by turning the wheel.", "You cannot answer it with a key.", "El filtro no puede dar más agua.", "Le robinet ne peut donner plus."])
+def test_limits_of_things_are_no_refusals(answer):
+    assert not pairs.is_refusal(answer, MACHINE)
+
+
+def test_covering_long_copies_is_linear():
+    import time
+
+    words = [f"w{i}" for i in range(40_000)]
+    machine = pairs.SuffixAutomaton(words)
+    began = time.perf_counter()
+    assert all(machine.covered(words, 2))
+    assert time.perf_counter() - began < 1
+
+
 def test_suffix_automaton_covers_what_brute_force_covers():
     prompt, response = "a b c d b c e".split(), "x b c d y b c e a b".split()
     stretches = {tuple(prompt[i:j]) for i in range(7) for j in range(i + 2, 8)}
