@@ -2,8 +2,10 @@
 
 All statistics of a batch of texts are computed on one array of code points: character classes by table lookup, counts
 per line, block and text by segmented sums, common words by the hash of each word's lower-case characters. The rules
-compare them with fixed thresholds. Those of Gopher (Rae et al. 2021) and C4 (Raffel et al. 2020) that a text fails are
-recorded by name; its kind follows from its blocks, the stretches between blank lines.
+compare them with the published thresholds of Gopher (Rae et al. 2021) and FineWeb (Penedo et al. 2024), and those that a text
+fails are recorded by name. A text that fails none, its length aside, is prose. For one that fails, the blocks, the stretches between
+blank lines, say what it is instead, if they agree: which of them outweigh its prose is recorded with the rules, and the kind is read
+off the record.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ def body_lines(text: str) -> list[str]:
     return lines[k:]
 
 
-LINE_COUNTS = ("chars", "alnum", "digits", "upper", "foreign", "words", "common", "letters", "tokens", "single", "pairs", "long", "numbers", "symbols")
+LINE_COUNTS = ("chars", "alnum", "digits", "upper", "foreign", "words", "common", "letters", "tokens", "single", "pairs", "long", "numbers", "alphabetic", "hashes", "width", "symbols")
 
 
 def line_counts(lines: list[str], common: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -101,6 +103,10 @@ def line_counts(lines: list[str], common: np.ndarray) -> tuple[dict[str, np.ndar
     }
     for name, mask in (("tokens", size > 0), ("single", (size == 1) & alnum[token]), ("pairs", size == 2), ("long", size > 24), ("numbers", (k[token] & DIGIT) > 0)):
         out[name] = np.bincount(line[token[mask]], minlength=len(lines))
+    letters = np.r_[0, np.cumsum(alnum & ((k & DIGIT) == 0))]
+    out["alphabetic"] = np.bincount(line[token[letters[stop] > letters[token]]], minlength=len(lines))
+    out["hashes"] = per(cp == ord("#"))
+    out["width"] = ends - starts
     out["symbols"] = out["chars"] - out["alnum"]
     seps = [per(cp == ord(c)) for c in SEPARATORS]
     slash = cp == ord("/")
@@ -150,8 +156,14 @@ def _most_agreeing(count: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
     return best
 
 
-KINDS = np.array([None, "list", "table", "junk"], dtype=object)
-RULES = ("words", "word_length", "symbols", "bullets", "ellipses", "alphabetic", "common_words", "line_ends")
+#: Published rules, and then what the blocks of a text that fails one can be.
+RULES = ("words", "word_length", "symbols", "bullets", "ellipses", "alphabetic", "common_words", "line_ends", "short_lines", "newlines", "list_blocks", "table_blocks", "junk_blocks")
+
+
+def kind_of(reasons: list[str]) -> str | None:
+    """What a text is by its recorded reasons."""
+    blocks = [r.removesuffix("_blocks") for r in reasons if r.endswith("_blocks")]
+    return blocks[0] if blocks else None
 
 
 def assess(texts: list[str], common: np.ndarray) -> dict[str, list]:
@@ -188,7 +200,7 @@ def assess(texts: list[str], common: np.ndarray) -> dict[str, list]:
     weight[listed, 1] += weight[listed, 4]
     weight[~listed, 0] += weight[~listed, 4]
     odd = weight[:, 1:4]
-    found = np.where(odd.sum(1) > weight[:, 0], 1 + odd.argmax(1), 0)
+    found = np.where(odd.sum(1) > weight[:, 0], 1 + odd.argmax(1), 0)  # what outweighs the prose
     per = lambda x: np.bincount(owner, x[use], minlength=len(texts))
     t = {k: per(v) for k, v in c.items()}
     n_lines, words, tokens = np.maximum(per(np.ones(len(lines))), 1), np.maximum(t["words"], 1), np.maximum(t["tokens"], 1)
@@ -203,24 +215,30 @@ def assess(texts: list[str], common: np.ndarray) -> dict[str, list]:
         "ellipsis_share": per(dots) / n_lines,
         "common_word_share": t["common"] / words,
     }
-    # The published thresholds (symbols of all kinds are counted here, hence a higher bound for them).
+    marks = t["hashes"] + per(np.array([x.count("...") + x.count("…") for x in lines], np.int64))
+    # The published thresholds. Gopher: words, word length, hashes and ellipses to words, lines that begin with bullets or
+    # end with an ellipsis, words with a letter, common words. FineWeb: lines that end a sentence, lines of at most 30 characters, newlines to words.
     failed = np.stack(
         [
             (t["words"] < 50) | (t["words"] > 100_000),
             (stats["mean_word_length"] < 3) | (stats["mean_word_length"] > 10),
-            stats["symbol_ratio"] > 0.5,
+            marks / tokens > 0.1,
             stats["bullet_share"] > 0.9,
             stats["ellipsis_share"] > 0.3,
-            t["letters"] / np.maximum(t["alnum"], 1) < 0.8,
+            t["alphabetic"] / tokens < 0.8,
             t["common"] < 2,
-            stats["line_end_share"] < 0.1,
+            stats["line_end_share"] <= 0.12,
+            per(c["width"] <= 30) / n_lines >= 0.67,
+            (n_lines - 1) / tokens > 0.3,
         ],
         1,
     )
+    doubtful = failed[:, 1:].any(1)  # short texts are prose as well as long ones
+    failed = np.concatenate([failed, np.stack([doubtful & (found == k) for k in (1, 2, 3)], 1)], 1)
     reasons = [[RULES[i] for i in np.flatnonzero(row)] for row in failed]
     out = {k: v.tolist() for k, v in stats.items()}
     out["n_words"], out["n_lines"] = t["words"].astype(int).tolist(), stats["n_lines"].astype(int).tolist()
-    return out | {"failed_rules": reasons, "kind": KINDS[found].tolist()}
+    return out | {"failed_rules": reasons, "kind": [kind_of(r) for r in reasons]}
 
 
 SCHEMA = pa.schema(
@@ -253,6 +271,8 @@ def _run(words: list[str]):
 def text_quality(df: DataFrame, id_col: str, text_col: str, common_words: DataFrame, word_col: str = "word", most: int = 20_000) -> DataFrame:
     """A row of statistics per row with a text: see ``COLUMNS``; ``kind`` is ``list``, ``table``, ``junk`` or, for prose, NULL.
 
+    ``failed_rules``: the published rules that the text fails, and which blocks outweigh its prose if it fails one besides its length.
+
     The section line and headings a text begins with are left out. NULL and blank texts give no row; repeated ids give a row
     each. ``common_words`` is a fixed vocabulary; above ``most`` words this raises instead of sending it round.
     """

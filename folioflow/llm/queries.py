@@ -89,6 +89,12 @@ def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "chunk_id")
 
 
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics that SQL can give too."""
+    wide = ("mean_word_length", "line_end_share", "common_word_share", "symbol_ratio")
+    return p5_statistics(spark, sf_dir).select("chunk_id", "n_words", "n_lines", *[F.round(c, 6).alias(c) for c in wide], F.array_contains("failed_rules", "words").alias("fails_words"), F.array_contains("failed_rules", "line_ends").alias("fails_line_ends"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that are lists, tables or junk."""
     return p5_statistics(spark, sf_dir).where("kind is not null").select("chunk_id", "kind")
@@ -182,6 +188,16 @@ from {CURRENT} where length(text_for_embedding) // 4 > 1000"""
 P7_SQL = """select 'documents' "rule", count(*) n from documents where length(text) > 0
 union all select unnest(['not_whole', 'split_needlessly', 'overfull', 'overlapping']), 0"""
 
+P5_SQL = f"""
+with t as (select chunk_id, text_for_embedding t, regexp_replace(text_for_embedding, '^([\\s]*(_Section:[^\\n]*_|#{{1,6}} [^\\n]*)?[\\s]*(\\n|$))+', '') b from {CURRENT} where regexp_matches(text_for_embedding, '[^\\s\\x0B\\x{{85}}\\x{{A0}}\\p{{Z}}]')),
+body as (select chunk_id, case when regexp_matches(b, '[^\\s\\x0B\\x{{85}}\\x{{A0}}\\p{{Z}}]') then b else t end b from t),
+parts as (select chunk_id, b, list_filter(string_split(b, chr(10)), lambda x: regexp_matches(x, '[^\\s\\p{{Z}}]')) l, regexp_extract_all(b, '[\\p{{L}}\\p{{N}}]+') w, regexp_extract_all(b, '[^\\s\\p{{Z}}]+') k from body),
+known as (select list(distinct lower(word)) c from common_words),
+counts as (select chunk_id, len(w) n_words, len(l) n_lines, list_sum(list_transform(w, lambda x: length(x)))::double letters, len(k)::double tokens, list_sum(list_transform(k, lambda x: length(x)))::double chars,
+  len(list_filter(l, lambda x: regexp_matches(x, '[.!?…:。！？]["''”’»)\\]]*[\\s\\p{{Z}}]*$')))::double ends, len(list_filter(w, lambda x: list_contains(c, lower(x))))::double common from parts, known)
+select chunk_id, n_words, n_lines, round(coalesce(letters, 0) / greatest(n_words, 1), 6) mean_word_length, round(ends / n_lines, 6) line_end_share, round(common / greatest(n_words, 1), 6) common_word_share,
+  round((chars - coalesce(letters, 0)) / greatest(tokens, 1), 6) symbol_ratio, n_words not between 50 and 100000 fails_words, ends / n_lines <= 0.12 fails_line_ends from counts"""
+
 P8_SQL = """
 with item_words as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from eval_items),
 windows as (select distinct item_id, least(12, len(w)) n, array_to_string(w[i : i + least(12, len(w)) - 1], ' ') g
@@ -201,6 +217,7 @@ QUERIES = {
     "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_statistics": p5_statistics,
+    "p5_counts": p5_counts,
     "p6_found": p6_found,
     "p7_sequences": p7_sequences,
     "p7_usage": p7_usage,
@@ -211,4 +228,4 @@ QUERIES = {
     "p9_pages": p9_pages,
 }
 
-SQL = {"p1_found": shingle_pairs_sql(3, 0.6), "p1_groups": GROUPS_SQL, "p2_found": P2_SQL, "p2_restored": RESTORED_SQL, "p7_invariants": P7_SQL, "p4_found": P4_SQL, "p8_found": P8_SQL}
+SQL = {"p1_found": shingle_pairs_sql(3, 0.6), "p1_groups": GROUPS_SQL, "p2_found": P2_SQL, "p2_restored": RESTORED_SQL, "p7_invariants": P7_SQL, "p5_counts": P5_SQL, "p4_found": P4_SQL, "p8_found": P8_SQL}
