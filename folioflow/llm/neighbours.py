@@ -4,7 +4,7 @@ Codebooks: LEVELS full-dimensional books, each trained by k-means on what the bo
 sample of vectors chosen by hash). Encoding keeps a beam of partial sums and takes the best complete one. The first code names the
 inverted list a vector is stored in; there are about four times as many lists as the square root of the number of vectors, and groups of
 the sample get lists by their size, so that dense regions are cut finely. A query visits the list that suits it best and those that suit it
-almost as well (GAP), few in clear cases and up to ``probes`` in doubtful ones. There it is
+almost as well, few in clear cases and up to ``probes`` in doubtful ones. There it is
 scored against all codes through lookup tables and the stored norms of the sums, and the best are scored again exactly. If
 another member can still be among the best, by how far it lies from its sum, all members are scored exactly: in the lists a
 query visits nothing is lost. With ``probes=ALL`` every vector is looked at, in blocks that needn't be lists.
@@ -28,8 +28,12 @@ from folioflow.storage import materialize
 
 #: Vectors the codebooks are fitted on, at least this many and PER_LIST for each list; codebooks after the first; their entries; width of the beam.
 TRAINED_ON, PER_LIST, LEVELS, ENTRIES, BEAM = 40_000, 8, 6, 64, 4
-#: Lists at most (the sample is bounded with them); lists a query visits at most, and by how much a list may suit it less than the best.
-MOST_LISTS, PROBES, GAP = 65_536, 16, 0.08
+#: Vectors of a list, at least, on average.
+MEMBERS = 128
+#: Lists at most (the sample is bounded with them); lists a query visits at most; by how much one may suit it less than the best is told below.
+MOST_LISTS, PROBES = 65_536, 32
+#: That margin: GAP, and more where lists are few and therefore wide (WIDER over the root of their number).
+GAP, WIDER = 0.06, 0.9
 #: Exactly scored candidates per query and list; members of a list, and queries, that meet in one task.
 SHORTLIST, BLOCK, ASKS = 64, 16_384, 65_536
 #: As ``probes``: look at every vector.
@@ -64,7 +68,7 @@ class Codebooks:
         best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
         best = np.take_along_axis(best, np.argsort(-np.take_along_axis(score, best, 1), axis=1, kind="stable"), 1)
         score = np.take_along_axis(score, best, 1)
-        near = np.where(score >= score[:, :1] - GAP, best, -1)[:, :probes]
+        near = np.where(score >= score[:, :1] - (GAP + WIDER / self.lists**0.5), best, -1)[:, :probes]
         states, score = best[:, :BEAM, None], score[:, :BEAM]
         sums = self.books[0][states[:, :, 0]]
         for book in self.books[1:]:
@@ -283,7 +287,7 @@ def nearest(
     spark = vectors.sparkSession
     if not count:
         return spark.createDataFrame([], "id string, neighbour string, cosine double, rank int")
-    lists = int(np.clip(4 * 2 ** round(np.log2(count) / 2), 4, MOST_LISTS))
+    lists = int(np.clip(min(4 * 2 ** round(np.log2(count) / 2), count // MEMBERS), 4, MOST_LISTS))
     wanted = max(trained_on, PER_LIST * lists)
     sample = groups.where(F.pmod(F.xxhash64("gid"), F.lit(max(1, count // wanted))) == 0).orderBy(F.xxhash64("gid")).limit(2 * wanted)
     sample = _unit(sample.select("vec").toArrow()["vec"].to_pylist() or groups.select("vec").limit(1).toArrow()["vec"].to_pylist(), dim).astype(np.float32)

@@ -69,12 +69,12 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every split text put together again from its pieces, with the sizes and overlaps of these."""
     pieces = p2_pieces(spark, sf_dir)
-    fresh = F.when(F.col("chunk_index") == 0, F.col("text")).otherwise(F.expr(f"substring(text, {split.OVERLAP * split.CHARS + 1})"))
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "start", "end", fresh.alias("part"))))
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "start", "end", "text")))
     every = pieces.groupBy("chunk_id").agg(ordered.alias("p"), F.max("token_count").alias("largest"))
     numbered = F.forall(F.transform("p", lambda x, i: x["chunk_index"] == i), lambda x: x)
-    overlaps = F.forall(F.expr("transform(slice(p, 2, size(p)), (x, i) -> p[i].end - x.start)"), lambda n: n == split.OVERLAP * split.CHARS)
-    whole = F.array_join(F.transform("p", lambda x: x["part"]), "")
+    # As far back as the text goes: a first piece may be shorter than the overlap.
+    overlaps = F.expr(f"forall(transform(slice(p, 2, size(p)), (x, i) -> p[i].end - x.start = least(p[i].end, {split.OVERLAP * split.CHARS})), ok -> ok)")
+    whole = F.expr("array_join(transform(p, (x, i) -> if(i = 0, x.text, substring(x.text, cast(p[i - 1].end - x.start as int) + 1))), '')")
     return every.select("chunk_id", F.length(whole).alias("n_chars"), F.md5(whole).alias("digest"), numbered.alias("numbered"), overlaps.alias("overlap_kept"), (F.col("largest") <= split.LIMIT).alias("within_limit"))
 
 

@@ -103,7 +103,7 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, *, limit: int = L
     """Pieces of the texts of more than ``limit`` tokens, a token being ``chars`` code points.
 
     ``id``, ``chunk_index`` from 0, ``start`` and ``end`` in the text, ``token_count``, ``cut`` (what the piece ends at)
-    and ``text``. A piece has at most ``limit`` tokens and begins exactly ``overlap`` tokens before its predecessor's end.
+    and ``text``. A piece has at most ``limit`` tokens and begins ``overlap`` tokens before its predecessor's end, or at the text's beginning.
     Texts within the limit, NULL texts and empty tables give nothing; rows that repeat an id are each split for themselves.
     """
     if not 0 <= overlap < limit:
