@@ -426,8 +426,8 @@ def run_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 with o as (select doc_id, chunk_id ord, section_heading title, section_level "level", page_range.lo page_start from {CURRENT} where section_level is not null and page_range.lo is not null),
-u as (select *, max(case when "level" = 1 then ord end) over w spot, max_by(title, case when "level" = 1 then ord end) over w above from o window w as (partition by doc_id order by ord rows between unbounded preceding and 1 preceding))
-select doc_id, ord, title, "level", page_start, case when "level" = 2 and spot is not null then [above] else []::varchar[] end parent_path from u""")
+u as (select *, max(case when "level" = 1 then {{'o': ord, 't': title}} end) over w above from o window w as (partition by doc_id order by ord rows between unbounded preceding and 1 preceding))
+select doc_id, ord, title, "level", page_start, case when "level" = 2 and above is not null then [above.t] else []::varchar[] end parent_path from u""")
 def document_outline(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as entries of their documents' outlines, with the titles above each."""
     chunks = current_chunks(spark, d, "doc_id", "section_heading", "section_level", "page_range").where("section_level is not null")
