@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.operators.current import current_rows
+
 SECTION = re.compile(r"\s*(_Section:.*_|#{1,6} .*)?\s*")
 BULLET = re.compile(r"\s*([-*•–—·◦▪‣»>+]|\[[ xX]?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s")
 #: Characters that end a sentence, also before closing quotes and brackets.
@@ -256,28 +258,41 @@ def _run(words: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = hashes(words)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(1).to_pylist()
             start, size = 0, 0
             for k, t in enumerate(texts):
-                size += len(t)
+                size += len(t or "")
                 if size > 1_000_000 or k + 1 == len(texts):
-                    out = {"id": ids[start : k + 1]} | assess(texts[start : k + 1], common)
-                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in SCHEMA], schema=SCHEMA)
+                    part = batch.slice(start, k + 1 - start)
+                    full = np.flatnonzero(np.asarray(part.column(1).is_valid()))
+                    out = assess([texts[start + i] for i in full], common) if len(full) else {f.name: [] for f in SCHEMA}
+                    place = np.full(part.num_rows, -1)
+                    place[full] = np.arange(len(full))
+                    at = pa.array(place, mask=place < 0)
+                    columns = [pa.array(out[f.name], f.type).take(at) for f in SCHEMA if f.name != "id"]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *columns, part.column(2)], [*SCHEMA.names, "version"])
                     start, size = k + 1, 0
 
     return run
 
 
-def text_quality(df: DataFrame, id_col: str, text_col: str, common_words: DataFrame, word_col: str = "word", most: int = 20_000) -> DataFrame:
+def text_quality(df: DataFrame, id_col: str, text_col: str, common_words: DataFrame, word_col: str = "word", most: int = 20_000, version_col: str | None = None) -> DataFrame:
     """A row of statistics per row with a text: see ``COLUMNS``; ``kind`` is ``list``, ``table``, ``junk`` or, for prose, NULL.
 
     ``failed_rules``: the published rules that the text fails, and which blocks outweigh its prose if it fails one besides its length.
-
     The section line and headings a text begins with are left out. NULL and blank texts give no row; repeated ids give a row
-    each. ``common_words`` is a fixed vocabulary; above ``most`` words this raises instead of sending it round.
+    each. With ``version_col`` only the row of each id with the greatest version counts, also if it has no text; statistics are taken
+    before rows are compared, so that these travel and not the texts. ``common_words`` is a fixed vocabulary; above ``most`` words this
+    raises instead of sending it round.
     """
     words = [r[0] for r in common_words.select(F.lower(word_col)).where(F.col(word_col).isNotNull()).distinct().limit(most + 1).collect()]
     if len(words) > most:
         raise ValueError(f"more than {most} common words")
-    texts = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"(?U)\S"))
-    return texts.mapInArrow(_run(sorted(words)), COLUMNS)
+    text, version = F.col(text_col), F.lit(0) if version_col is None else F.col(version_col)
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.when(text.rlike(r"(?U)\S"), text).alias("text"), version.alias("version"))
+    if version_col is None:
+        rows = rows.where(F.col("text").isNotNull())
+    found = rows.mapInArrow(_run(sorted(words)), f"{COLUMNS}, version {rows.schema['version'].dataType.simpleString()}")
+    if version_col is None:
+        return found.drop("version")
+    return current_rows(found, "id", "version", {c: F.col(c) for c in SCHEMA.names if c != "id"}).where(F.col("n_words").isNotNull())

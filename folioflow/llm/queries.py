@@ -13,10 +13,6 @@ from folioflow.storage import materialize
 DIM = 64
 
 
-def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return current_rows(table(spark, sf_dir, "chunks"), "chunk_id", "updated_at", {"text": F.col("text_for_embedding")})
-
-
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current_rows(table(spark, sf_dir, "chunks"), "chunk_id", "updated_at", {"embedding": F.col("embedding")})
 
@@ -85,7 +81,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word, symbol, line and common-word statistics of every chunk with text, the rules it fails, and its kind."""
-    found = quality.text_quality(chunk_texts(spark, sf_dir), "chunk_id", "text", table(spark, sf_dir, "common_words"))
+    found = quality.text_quality(table(spark, sf_dir, "chunks"), "chunk_id", "text_for_embedding", table(spark, sf_dir, "common_words"), version_col="updated_at")
     return found.withColumnRenamed("id", "chunk_id")
 
 

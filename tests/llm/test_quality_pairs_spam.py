@@ -51,6 +51,22 @@ def test_statistics_and_reasons(spark):
     assert quality.text_quality(spark.createDataFrame([], "k string, t string"), "k", "t", common).count() == 0
 
 
+def test_the_latest_version_counts_even_without_a_text(spark):
+    common = spark.createDataFrame([(w,) for w in COMMON], "word string")
+    rows = [("a", PROSE, 1), ("a", "- x\n- y\n- z", 2), ("b", PROSE, 1), ("b", None, 2), ("c", "  ", 1), ("c", PROSE, None), ("d", PROSE, 5), ("d", PROSE, 5)]
+    df = spark.createDataFrame(rows, "k string, t string, v int")
+    out = {r["id"]: r["n_words"] for r in quality.text_quality(df, "k", "t", common, version_col="v").collect()}
+    assert set(out) == {"a", "d"} and out["a"] == 3
+    assert quality.text_quality(df.limit(0), "k", "t", common, version_col="v").count() == 0
+
+
+def test_kinds_follow_from_recorded_reasons():
+    found = quality.assess([PROSE, "\n".join(f"- entry number {i}" for i in range(9)), "\n".join(f"x{i};y;{i}.5" for i in range(6)), "lova nelmar lajas vavel ulba zanmi " * 12], HASHES)
+    assert found["kind"] == [quality.kind_of(r) for r in found["failed_rules"]] == [None, "list", "table", "junk"]
+    for reasons in found["failed_rules"][1:]:
+        assert any(r in quality.RULES[1:10] for r in reasons)
+
+
 def test_vectorized_counts_equal_a_loop():
     lines = ["The  cat\t(42) sat|on; the mat, ok.", "", "é😀 x=1 / 2 / 3", "  a  b"]
     counts, seps = quality.line_counts(lines, HASHES)
