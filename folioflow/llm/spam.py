@@ -3,7 +3,7 @@
 A page is a sequence of units, its lines, long ones cut at sentence ends. Each unit emits one of a few symbols, which
 depend on common words, addresses, tag syntax, separators, numbers and on how much of the unit are words that make up an
 unusual share of the whole page. Hidden states are prose, link list, tag list, menu and record (rows of tables, contents,
-references: no sentences, yet no spam). The model is trained by expectation maximisation; the most likely states come from
+references: no sentences, yet no spam). The model is trained by expectation maximisation on all pages; the most likely states come from
 Viterbi's algorithm, run in step over the pages of a batch; a page is spam if more than half of its words are in link lists, tag lists and menus.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.storage import spread
+from folioflow.storage import materialize, spread
 
 WORD = re.compile(r"[^\W_]+")
 ADDRESS = re.compile(r"https?://|www\.|<a\s|\]\(|\b[\w-]+\.[a-z]{2,7}(?:/|\s*[);,]|\s*$)", re.I)
@@ -51,8 +51,11 @@ EMISSION = np.array(
     ]
 )
 STAY, FIRST = 0.86, np.array([0.6, 0.1, 0.1, 0.1, 0.1])
-#: Pages the model is trained on, at most twice as many; rounds; units that each state's prior counts for.
-TRAINED_ON, ROUNDS, HELD = 1500, 6, 2000
+#: Rounds of training; units that each state's prior counts for.
+ROUNDS, HELD = 6, 2000
+#: Units of a block, by which long pages advance at once; units whose probabilities are kept at once (some 100 MB), unless one
+#: page has more; parts of a unit that counts are rounded to, so that their sum doesn't depend on its order.
+BLOCK, AT_ONCE, PARTS = 256, 1_000_000, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -67,40 +70,115 @@ def untrained() -> Model:
     return Model(FIRST, np.where(np.eye(k, dtype=bool), STAY, (1 - STAY) / (k - 1)), EMISSION / EMISSION.sum(1, keepdims=True))
 
 
-def train(sequences: list[list[int]], rounds: int = ROUNDS, held: float = HELD, longest: int = 200) -> Model:
-    """Expectation maximisation (Baum-Welch) over all sequences at once, from the untrained model, whose probabilities count as
-    ``held`` units of each state. Sequences are cut at ``longest`` units for training."""
-    parts = [s[i : i + longest] for s in sequences for i in range(0, len(s), longest)]
-    start = model = untrained()
-    if not parts:
-        return model
-    size = np.array([len(p) for p in parts])
-    steps, k = int(size.max()), len(STATES)
-    seen = np.zeros((len(parts), steps), np.int64)
-    for row, p in zip(seen, parts):
-        row[: len(p)] = p
+def expected(flat: np.ndarray, sizes: np.ndarray, model: Model, block: int = BLOCK) -> Model:
+    """Expected counts of first states, moves and emissions over whole sequences (Baum-Welch's first half). ``flat`` holds their
+    symbols one after another, ``sizes`` how many each has.
+
+    All blocks of all sequences advance together. A sequence of several blocks first multiplies the steps of each, which says
+    what comes into it from those before and from those behind: counts are those of the uncut sequence.
+    """
+    k, emit, move = len(STATES), model.emit.T, model.move
+    sizes, blocks = sizes[sizes > 0], -(-sizes[sizes > 0] // block)
+    counts = np.zeros(k), np.zeros((k, k)), np.zeros_like(emit)
+    if not len(sizes):
+        return Model(counts[0], counts[1], counts[2].T)
+    ordinal = np.arange(blocks.sum()) - np.repeat(blocks.cumsum() - blocks, blocks)
+    start = np.repeat(sizes.cumsum() - sizes, blocks) + ordinal * block
+    size = np.minimum(block, np.repeat(sizes, blocks) - ordinal * block)
+    last = ordinal == np.repeat(blocks, blocks) - 1
+    into, behind = np.tile(model.first, (len(size), 1)), np.ones((len(size), k))
+    if len(cut := np.flatnonzero(np.repeat(blocks, blocks) > 1)):
+        cut = cut[np.argsort(-size[cut], kind="stable")]
+        through = np.tile(np.eye(k), (len(cut), 1, 1))
+        for t in range(int(size[cut[0]])):
+            n = int(np.searchsorted(-size[cut], -t, "left"))
+            through[:n] = (through[:n] * emit[flat[start[cut[:n]] + t]][:, None, :]) @ move
+            through[:n] /= through[:n].sum((1, 2), keepdims=True)
+        through = dict(zip(cut.tolist(), through))
+        for i in sorted(through):
+            if not last[i]:
+                x = into[i] @ through[i]
+                into[i + 1] = x / x.sum()
+        for i in sorted(through, reverse=True):
+            if not last[i]:
+                x = through[i + 1] @ behind[i + 1]
+                behind[i] = x / x.sum()
+    order = np.argsort(-size, kind="stable")
+    start, size, into, behind, opens, last = start[order], size[order], into[order], behind[order], ordinal[order] == 0, last[order]
+    alive = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size[0]))]  # blocks longer than t
+    alpha = []
+    for t, n in enumerate(alive):
+        x = (alpha[-1][:n] @ move if t else into) * emit[flat[start[:n] + t]]
+        alpha.append(x / x.sum(1, keepdims=True))
+    beta, to = behind @ move.T, np.eye(emit.shape[0])
+
+    def moved(here: np.ndarray, there: np.ndarray) -> np.ndarray:
+        weight = there @ move.T
+        counts[1][...] += move * (here.T @ (there / (here * weight).sum(1, keepdims=True)))
+        return weight / weight.sum(1, keepdims=True)
+
+    for t in range(len(alive) - 1, -1, -1):
+        n = alive[t]
+        seen = flat[start[:n] + t]
+        state = alpha[t] * beta[:n]
+        state /= state.sum(1, keepdims=True)
+        counts[2][...] += to[seen].T @ state
+        if n > (longer := alive[t + 1] if t + 1 < len(alive) else 0) and (on := ~last[longer:n]).any():
+            moved(alpha[t][longer:][on], behind[longer:n][on])
+        if t:
+            beta[:n] = moved(alpha[t - 1][:n], emit[seen] * beta[:n])
+        else:
+            counts[0][...] += state[opens].sum(0)
+    return Model(counts[0], counts[1], counts[2].T)
+
+
+def fitted(counts: Model, held: float = HELD) -> Model:
+    """The model that expected counts give, with the untrained one's probabilities as ``held`` units of each state."""
+    prior = untrained()
+    return Model(*((n + held * p) / (n + held * p).sum(-1, keepdims=True) for n, p in ((counts.first, prior.first), (counts.move, prior.move), (counts.emit, prior.emit))))
+
+
+def train(sequences: list[list[int]], rounds: int = ROUNDS, held: float = HELD) -> Model:
+    """Expectation maximisation (Baum-Welch) over all sequences at once, from the untrained model, which also is the prior."""
+    model = untrained()
+    flat, sizes = np.array([x for s in sequences for x in s], np.int64), np.array([len(s) for s in sequences], np.int64)
+    for _ in range(rounds if len(flat) else 0):
+        model = fitted(expected(flat, sizes, model), held)
+    return model
+
+
+def _counts(model: Model):
+    """The expected counts of a task's pages, cell by cell, in whole parts of a unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            column = batch.column(0).cast(pa.binary())
+            ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+            flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+            begin = 0
+            while begin < len(column):
+                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + AT_ONCE, "right")) - 1)
+                found = expected(flat[ends[begin] : ends[end]], np.diff(ends[begin : end + 1]), model)
+                total = total + np.rint(np.concatenate([x.ravel() for x in (found.first, found.move, found.emit)]) * PARTS).astype(np.int64)
+                begin = end
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["cell", "parts"])
+
+    return run
+
+
+def train_on(pages: DataFrame, rounds: int = ROUNDS, held: float = HELD) -> Model:
+    """:func:`train` on every row of ``pages``, whose column ``symbols`` has a byte a unit. Each round is a pass over them;
+    the driver gets one sum for each cell of the model."""
+    model = untrained()
+    cuts = np.cumsum([model.first.size, model.move.size])
     for _ in range(rounds):
-        alpha, scale = np.zeros((steps, len(parts), k)), np.ones((steps, len(parts)))
-        for t in range(steps):
-            before = model.first if t == 0 else alpha[t - 1] @ model.move
-            alpha[t] = before * model.emit[:, seen[:, t]].T
-            scale[t] = alpha[t].sum(1)
-            alpha[t] /= scale[t][:, None]
-        beta = np.ones((len(parts), k))
-        first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit)
-        for t in range(steps - 1, -1, -1):
-            inside = size > t
-            beta[~inside] = 1
-            state = np.where(inside[:, None], alpha[t] * beta, 0)
-            state /= np.maximum(state.sum(1, keepdims=True), 1e-300)
-            np.add.at(emit.T, seen[:, t], state)
-            if t == 0:
-                first = state.sum(0)
-                break
-            after = np.where(inside[:, None], model.emit[:, seen[:, t]].T * beta / scale[t][:, None], 0)
-            move += model.move * (alpha[t - 1].T @ after)
-            beta = np.where(inside[:, None], after @ model.move.T, 1)
-        model = Model(*(((n + held * prior) / (n + held * prior).sum(-1, keepdims=True)) for n, prior in zip((first, move, emit), (start.first, start.move, start.emit))))
+        sums = pages.select("symbols").mapInArrow(_counts(model), "cell int, parts long").groupBy("cell").agg(F.sum("parts").alias("parts")).collect()
+        if not sums:
+            break
+        first, move, emit = np.split(np.array([r["parts"] for r in sorted(sums, key=lambda r: r["cell"])]) / PARTS, cuts)
+        model = fitted(Model(first, move.reshape(model.move.shape), emit.reshape(model.emit.shape)), held)
     return model
 
 
@@ -201,8 +279,9 @@ def viterbi(sequences: list[list[int]], model: Model | None = None) -> list[np.n
     return out
 
 
-def _run(words: list[str], model: Model, threshold: float, least: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64())] + [(f"{s}_share", pa.float64()) for s in STATES] + [("spam", pa.bool_())])
+def _read(words: list[str]):
+    """Symbols of each page, a byte a unit, and the units' numbers of words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("symbols", pa.binary()), ("sizes", pa.list_(pa.int32()))])
     common = frozenset(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,31 +289,34 @@ def _run(words: list[str], model: Model, threshold: float, least: int):
             for start in range(0, big.num_rows, 500):
                 batch = big.slice(start, 500)
                 seen = [symbols(units(t, common), common) for t in batch.column(1).to_pylist()]
-                rows = []
-                for doc, (_, sizes), path in zip(batch.column(0).to_pylist(), seen, viterbi([s for s, _ in seen], model)):
-                    n = sum(sizes)
-                    share = np.bincount(path, sizes, len(STATES)) / max(n, 1)
-                    rows.append((doc, n, *share.tolist(), bool(n >= least and share[1:4].sum() > threshold)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+                columns = batch.column(0), [bytes(s) for s, _ in seen], [sizes for _, sizes in seen]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
     return run
 
 
-def _symbols_of(words: list[str]):
-    common = frozenset(words)
+def _run(model: Model, threshold: float, least: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64())] + [(f"{s}_share", pa.float64()) for s in STATES] + [("spam", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [symbols(units(t, common), common)[0] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "symbols"])
+        for big in batches:
+            for start in range(0, big.num_rows, 500):
+                batch = big.slice(start, 500)
+                rows = []
+                for doc, sizes, path in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), viterbi(batch.column(1).to_pylist(), model)):
+                    n = sum(sizes)
+                    share = np.bincount(path, sizes, len(STATES)) / max(n, 1)
+                    rows.append((doc, n, *share.tolist(), bool(n >= least and share[1:4].sum() > threshold)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
-def page_kinds(documents: DataFrame, common_words: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, least: int = 20, most: int = 20_000, trained_on: int = TRAINED_ON) -> DataFrame:
+def page_kinds(documents: DataFrame, common_words: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, least: int = 20, most: int = 20_000) -> DataFrame:
     """``doc_id``, ``n_words``, the share of its words in each state, and ``spam``.
 
-    The model is trained without labels on about ``trained_on`` pages chosen by hash, never more than twice as many, and applied to all.
+    The model is trained without labels on all pages, and applied to all. What training and scoring need of them, a symbol and a
+    number of words for each unit, is written once to the shared folder.
     Pages of fewer than ``least`` words are never spam; NULL and blank texts and NULL ids give no row; repeated ids give a row
     each. ``common_words`` is a fixed vocabulary; above ``most`` words this raises.
     """
@@ -243,9 +325,7 @@ def page_kinds(documents: DataFrame, common_words: DataFrame, *, id_col: str = "
         raise ValueError(f"more than {most} common words")
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"(?U)\S"))
-    pace = max(1, documents.count() // max(1, trained_on))
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(pace)) == 0).mapInArrow(_symbols_of(sorted(words)), "doc_id long, symbols array<int>")
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * trained_on).collect()
-    model = train([r["symbols"] for r in rows if r["symbols"]])
+    pages = materialize(spread(texts).mapInArrow(_read(sorted(words)), "doc_id long, symbols binary, sizes array<int>"), "pages")
+    model = train_on(pages)
     shares = ", ".join(f"{s}_share double" for s in STATES)
-    return spread(texts).mapInArrow(_run(sorted(words), model, threshold, least), f"doc_id long, n_words long, {shares}, spam boolean")
+    return pages.mapInArrow(_run(model, threshold, least), f"doc_id long, n_words long, {shares}, spam boolean")

@@ -226,3 +226,33 @@ def test_pages_without_text(spark):
     df = spark.createDataFrame([(1, None), (2, " "), (None, "x"), (3, "…")], "doc_id long, text string")
     assert [r["doc_id"] for r in spam.page_kinds(df, common).collect()] == [3]
     assert spam.page_kinds(df.limit(0), common).count() == 0
+
+
+def test_every_page_trains_the_model(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    lines = ["It is not the part that was read.", "Sturdy handle", "https://example.test/page", "#one #two #three", "Copper wire / glass lid", "1.2 Steel bolt 7.25", "Green box was sold."]
+    mixes = rng.dirichlet(np.ones(len(lines)) / 2, 3200)
+    texts = ["\n".join(rng.choice(lines, rng.integers(1, 15), p=p)) for p in mixes]
+    seen = [spam.symbols(spam.units(t, WORDS), WORDS) for t in texts]
+    model = spam.train([s for s, _ in seen])
+    right = {i: np.bincount(path, n, 5) / sum(n) for i, ((_, n), path) in enumerate(zip(seen, spam.viterbi([s for s, _ in seen], model)))}
+    common = spark.createDataFrame([(w,) for w in COMMON], "word string")
+    out = spam.page_kinds(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), common).collect()
+    assert len(out) == 3200
+    assert [r["doc_id"] for r in out if not np.allclose([r[f"{s}_share"] for s in spam.STATES], right[r["doc_id"]])] == []
+
+
+def test_counts_of_long_pages_are_those_of_whole_pages():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    sizes = np.array([5, 0, 700, 3, 256, 257, 512, 1])
+    flat = rng.integers(0, 8, sizes.sum())
+    model = spam.train([rng.integers(0, 8, 30).tolist() for _ in range(20)], held=50)
+    whole = spam.expected(flat, sizes, model, block=1000)
+    assert np.isclose(whole.first.sum(), 7) and np.isclose(whole.move.sum(), sizes.sum() - 7) and np.isclose(whole.emit.sum(), sizes.sum())
+    for block in (1, 3, 256):
+        parts = spam.expected(flat, sizes, model, block=block)
+        assert all(np.allclose(getattr(parts, f), getattr(whole, f)) for f in ("first", "move", "emit"))
