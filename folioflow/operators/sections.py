@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,9 @@ from folioflow.functions.text import count_tokens, strip
 #: Tokens at which a packed section is closed.
 PACK_TOKENS = 850
 
+#: Levels of blocks of 4 ** level pages: enough for all numbers an INT can be.
+BLOCK_LEVELS = range(17)
+
 
 def page_ends(toc: DataFrame, doc: str = "doc_id", order: str = "ord", start: str = "page_start", pages: str = "page_count") -> DataFrame:
     """Adds ``page_end``: the page before the next heading's, whatever its level; for the last heading the document's last page.
@@ -106,12 +109,41 @@ def useful_figures(figures: DataFrame) -> DataFrame:
     return figures.where(F.col("decision").isNotNull() & (F.col("decision") != "skip_decorative"))
 
 
+def _block(page: Column, level: Column) -> Column:
+    """The number of the block of ``4 ** level`` pages that a page lies in."""
+    return F.call_function("shiftright", page.cast("bigint"), 2 * level)
+
+
+def page_blocks(ranged: DataFrame) -> DataFrame:
+    """Each range ``page_start`` to ``page_end`` (inclusive) as the fewest aligned blocks of 1, 4, 16, ... pages: adds ``_level`` and ``_block``.
+
+    A page of the range lies in exactly one of them, and there are at most six of a level, however long the range is.
+    """
+    leveled = ranged.withColumn("_level", F.explode(F.array(*map(F.lit, BLOCK_LEVELS))))
+
+    def whole(level: Column) -> tuple[Column, Column]:
+        """The first block of this level that begins in the range, and the first that doesn't end in it."""
+        ahead = F.call_function("shiftleft", F.lit(1).cast("bigint"), 2 * level) - 1
+        return _block(F.col("page_start") + ahead, level), _block(F.col("page_end").cast("bigint") + 1, level)
+
+    (first, after), (up, past) = whole(F.col("_level")), whole(F.col("_level") + 1)
+    ends = leveled.select("*", first.alias("_first"), after.alias("_after"), (up * 4).alias("_up"), F.greatest(up * 4, past * 4).alias("_past")).where("_first < _after")
+    left = [F.col("_first") + i for i in range(3)]
+    right = [F.col("_after") - i for i in range(1, 4)]
+    blocks = [F.when(b < F.least("_up", "_after"), b) for b in left] + [F.when(b >= F.col("_past"), b) for b in right]
+    return ends.select(*ranged.columns, "_level", F.explode(F.array(*blocks)).alias("_block")).where("_block is not null")
+
+
 def figures_in_sections(sections: DataFrame, figures: DataFrame) -> DataFrame:
     """Each section with the useful figures on its pages; a figure may lie in several sections.
 
-    The pages of a section are spelled out, so the range join is an equi-join on document and page.
+    The range join is an equi-join on document and block: a section's blocks against the one block of each level around a figure's
+    page. Its pairs are the result's rows, so neither long sections nor many of them on few figures cost more than their blocks. Spark
+    doesn't see that rows multiply here and would broadcast a side, however large, so the join is a merge join.
     """
-    ranged = sections.where(F.col("page_end") >= F.col("page_start"))
-    spelled = ranged.select("doc_id", "ord", F.explode(F.sequence("page_start", "page_end")).alias("page"))
-    found = useful_figures(figures).withColumn("description", figure_placeholder(F.col("page")))
-    return spelled.join(found, ["doc_id", "page"]).select("doc_id", "ord", "page", "element_id", "decision", "description")
+    ranged = sections.where(F.col("page_end") >= F.col("page_start")).select("doc_id", "ord", "page_start", "page_end")
+    blocks = page_blocks(ranged).select("doc_id", "ord", "_level", "_block")
+    found = useful_figures(figures).where("page is not null").select("doc_id", "page", "element_id", "decision", F.explode(F.array(*map(F.lit, BLOCK_LEVELS))).alias("_level"))
+    placed = found.withColumn("_block", _block(F.col("page"), F.col("_level")))
+    joined = blocks.hint("merge").join(placed, ["doc_id", "_level", "_block"])
+    return joined.select("doc_id", "ord", "page", "element_id", "decision", figure_placeholder(F.col("page")).alias("description"))

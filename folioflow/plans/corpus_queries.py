@@ -269,7 +269,7 @@ select s.doc_id, ord, page, element_id, decision, '[Figure on page ' || page ||
 def figure_range_join(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("source is not null")
     routed = image_route(spark, d).select(F.col("p_partkey").alias("doc_id"), "decision")
-    figures = docs.join(routed, "doc_id").select(F.col("source"), (F.col("doc_id") + F.col("doc_id") % 4).cast("int").alias("page"), F.concat(F.lit("fig_"), "doc_id").alias("element_id"), "decision")
+    figures = docs.join(routed.hint("merge"), "doc_id").select(F.col("source"), (F.col("doc_id") + F.col("doc_id") % 4).cast("int").alias("page"), F.concat(F.lit("fig_"), "doc_id").alias("element_id"), "decision")
     return sections.figures_in_sections(toc_page_end(spark, d), figures.withColumnRenamed("source", "doc_id"))
 
 

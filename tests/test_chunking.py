@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings
@@ -107,6 +108,28 @@ def test_page_ends_ignore_levels(spark):
     assert [r["page_end"] for r in sections.page_ends(toc).orderBy("ord").collect()] == [2, 8, 20]
 
 
+SPANS, FIGURES = "doc_id string, ord int, page_start int, page_end int", "doc_id string, page int, element_id string, decision string"
+
+
+def test_figures_of_a_section_as_long_as_an_int_allows(spark):
+    spans = spark.createDataFrame([("d", 1, 1, 2**31 - 1), ("d", 2, -(2**31), 2**31 - 1), ("d", 3, 7, 7), ("d", 4, 8, 7), ("d", 5, None, 9), ("d", 6, 1, None)], SPANS)
+    figures = spark.createDataFrame([("d", 7, "a", "process_as_chart"), ("d", 2**31 - 1, "b", "process_as_chart"), ("d", -5, "c", "process_as_chart"), ("d", 7, "e", "skip_decorative"), ("d", None, "f", "process_as_chart"), ("x", 7, "g", "process_as_chart")], FIGURES)
+    got = sorted((r["ord"], r["element_id"], r["description"]) for r in sections.figures_in_sections(spans, figures).collect())
+    text = "[Figure on page {}: would be described by VLM in production]".format
+    assert got == [(1, "a", text(7)), (1, "b", text(2**31 - 1)), (2, "a", text(7)), (2, "b", text(2**31 - 1)), (2, "c", text(-5)), (3, "a", text(7))]
+
+
+def test_figures_in_overlapping_sections_each_once(spark):
+    rng = random.Random(5)
+    spans = [(rng.choice("de"), i, a, a + rng.choice([0, 1, 3, 15, 16, 17, rng.randint(0, 300)])) for i in range(300) for a in [rng.randint(-40, 300)]]
+    figures = [(rng.choice("de"), rng.randint(-50, 620), str(i), "process_as_chart") for i in range(200)]
+    found = sections.figures_in_sections(spark.createDataFrame(spans, SPANS), spark.createDataFrame(figures, FIGURES))
+    by_hand = sorted((d, i, page, name) for d, i, lo, hi in spans for at, page, name, _ in figures if at == d and lo <= page <= hi)
+    assert sorted((r["doc_id"], r["ord"], r["page"], r["element_id"]) for r in found.collect()) == by_hand
+    placed = sections.page_blocks(spark.createDataFrame(spans, SPANS)).groupBy("ord").agg(F.sum(F.pow(4, "_level")).alias("pages")).collect()
+    assert {r["ord"]: r["pages"] for r in placed} == {i: hi - lo + 1 for _, i, lo, hi in spans}
+
+
 def test_outline_paths(spark):
     rows = [("d", 1, "A", 1, 1), ("d", 2, "B", 2, 2), ("d", 3, "C", 3, 2), ("d", 4, "D", 1, 5), ("d", 5, "E", 2, 6), ("d", 6, "gone", 2, None)]
     out = sections.walk_outline(spark.createDataFrame(rows, "doc_id string, ord int, title string, level int, page_start int")).orderBy("ord").collect()

@@ -41,6 +41,12 @@ def test_current_rows_are_ranked_before_the_shuffle(spark, data, name):
     assert "WindowGroupLimit" in plan(Q[name](spark, data))
 
 
+def test_sections_and_parts_are_not_broadcast_to_find_figures(spark, data):
+    """Only the last page of each source may be: Spark takes what generators multiply, and narrow columns of packed files, for small."""
+    text = plan(Q["figure_range_join"](spark, data)).split("== Physical Plan ==")[1]
+    assert text.count("BroadcastHashJoin") <= 1 and text.count("SortMergeJoin") >= 2 and "sequence(" not in text
+
+
 def executed(spark):
     """Physical plans of all SQL executions of the session so far, by number."""
     store = spark._jsparkSession.sharedState().statusStore()
